@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_sharding, quality_rules, secret_scan
+from . import hilbert_sharding, quality_rules, secret_scan, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that occur in windows of benchmark items."""
+    out = winnowing.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
     out = hilbert_sharding.shard(_table(spark, sf_dir, "documents"), 24)
@@ -43,7 +50,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op3_quality_rules, op8_hilbert_sharding, op10_secret_scan)
+    named = (op3_quality_rules, op7_winnowing, op8_hilbert_sharding, op10_secret_scan)
     return {f.__name__: f for f in named}
 
 
