@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_sharding, quality_rules, secret_scan, winnowing
+from . import hilbert_sharding, jaccard_join, quality_rules, secret_scan, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets are 90 per cent alike."""
+    return jaccard_join.cluster(_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     out = quality_rules.measure(_table(spark, sf_dir, "documents"))
@@ -50,7 +55,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op3_quality_rules, op7_winnowing, op8_hilbert_sharding, op10_secret_scan)
+    named = (op2_jaccard_join, op3_quality_rules, op7_winnowing, op8_hilbert_sharding, op10_secret_scan)
     return {f.__name__: f for f in named}
 
 
