@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_sharding, jaccard_join, quality_rules, secret_scan, winnowing
+from . import hilbert_sharding, jaccard_join, quality_rules, secret_scan, token_files, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,15 @@ def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and digests of every document's ids, as read back from the token files."""
+    folder = token_files.new_folder(spark)
+    token_files.write(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    out = token_files.read(spark, folder)
+    n = F.expr("octet_length(ids) div 4").cast("long")
+    return out.select("doc_id", "start", n.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of every document's secrets."""
     found = secret_scan.scan_documents(_table(spark, sf_dir, "documents"))
@@ -55,7 +65,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_jaccard_join, op3_quality_rules, op7_winnowing, op8_hilbert_sharding, op10_secret_scan)
+    named = (op2_jaccard_join, op3_quality_rules, op7_winnowing, op8_hilbert_sharding, op9_token_files, op10_secret_scan)
     return {f.__name__: f for f in named}
 
 
