@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_sharding, jaccard_join, quality_rules, secret_scan, token_files, winnowing
+from . import best_fit_packing, hilbert_sharding, jaccard_join, quality_rules, secret_scan, token_files, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document and their places in sequences of 2048 ids."""
+    pieces = best_fit_packing.pieces_of(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return best_fit_packing.pack(digests, 2048)
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that occur in windows of benchmark items."""
     out = winnowing.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -65,7 +72,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_jaccard_join, op3_quality_rules, op7_winnowing, op8_hilbert_sharding, op9_token_files, op10_secret_scan)
+    named = (op2_jaccard_join, op3_quality_rules, op4_best_fit_packing, op7_winnowing, op8_hilbert_sharding, op9_token_files, op10_secret_scan)
     return {f.__name__: f for f in named}
 
 
