@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, hilbert_sharding, jaccard_join, quality_rules, secret_scan, token_files, winnowing
+from . import best_fit_packing, compression_distance, hilbert_sharding, jaccard_join, quality_rules, secret_scan, token_files, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(digests, 2048)
 
 
+def op6_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document; labels of the held-out fold are never read."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = compression_distance.fit(docs, labels.where(~compression_distance.in_fold("doc_id")))
+    scored = compression_distance.score(docs, model)
+    return scored.select("doc_id", compression_distance.in_fold("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that occur in windows of benchmark items."""
     out = winnowing.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -72,7 +80,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_jaccard_join, op3_quality_rules, op4_best_fit_packing, op7_winnowing, op8_hilbert_sharding, op9_token_files, op10_secret_scan)
+    named = (op2_jaccard_join, op3_quality_rules, op4_best_fit_packing, op6_compression_distance, op7_winnowing, op8_hilbert_sharding, op9_token_files, op10_secret_scan)
     return {f.__name__: f for f in named}
 
 
