@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pretokens import batches_of, encoder
-from .tables import materialise
+from .tables import checkpointed
 
 
 class CapacityTree:
@@ -135,8 +135,8 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
 
     pieces is computed once and kept in the checkpoint folder, so it should be narrow or worth keeping.
     """
-    kept = materialise(pieces).withColumn("_part", F.spark_partition_id())
-    sizes = materialise(kept.groupBy("_part", F.col(length_col).alias("_length")).agg(F.count(F.lit(1)).alias("_n")))
+    kept = checkpointed(pieces).withColumn("_part", F.spark_partition_id())
+    sizes = checkpointed(kept.groupBy("_part", F.col(length_col).alias("_length")).agg(F.count(F.lit(1)).alias("_n")))
     histogram = {int(r["_length"]): r.n for r in sizes.groupBy("_length").agg(F.sum("_n").alias("n")).collect()}  # capacity rows at most
     rules, _ = best_fit_decreasing(histogram, capacity)
     table = {k: np.array(v, np.int64) for k, v in rules.items()}

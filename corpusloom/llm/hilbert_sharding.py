@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .native import let
-from .tables import materialise
+from .tables import checkpointed
 
 BITS = 5
 
@@ -76,7 +76,7 @@ def quantise_size(c: Column, bits: int = BITS) -> Column:
 
 def numbered(rows: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     """rows with their place in a total order, from 0; distributed, with one small row for each partition."""
-    spread = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order))
+    spread = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order))
     placed = spread.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at"))
     sizes = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,4 +1,4 @@
-"""Exact Jaccard join of word-shingle sets in metric space.
+r"""Exact Jaccard join of word-shingle sets in metric space.
 
 Documents are points under the Jaccard distance d = 1 - |A n B| / |A u B|; two
 link when d <= r = 1 - t.  The join divides the space, recursively:
@@ -15,16 +15,23 @@ link when d <= r = 1 - t.  The join divides the space, recursively:
    point is the pivot of its cell; a document enters a cell for each class.
    Documents with too few such classes (mostly the smallest sets) also enter a
    cell for each shingle of their prefix, which finds all pairs among them.
-3. Pivots within a cell.  A cell's pivot is a document; every other member's
-   exact distance to it is taken.  Members within r are linked to it and need
-   not be compared with each other, as they are connected already.  Others go
-   into the next recursion, with those linked members whose distance to the
-   pivot lies in the triangle-inequality window of the others.  Each level uses
-   twice as many pivots as the one before, so a cell of n needs log n levels.
+3. Pivots within a cell.  A cell's pivot p is its smallest set; every other
+   member's exact distance to it is taken.  Members within r are linked to it and
+   need not be compared with each other, as they are connected already.  The
+   rest recurses in the space recentred on p, where a member x is the set
+   x \ p of what it has beyond p: symmetric differences are the same after
+   recentring, and as no member is smaller than p, a linked pair that p does not
+   connect has an element beyond p in common (a sum of the three triangle inequalities).  So each such element is
+   a cell of the next recursion.  Members linked to p take part only if their
+   distance to p lies in the triangle-inequality window of the others, d(x, p)
+   >= min d(others, p) - r.  Each level uses four times as many pivots as the one
+   before, each the smallest of the members that the ones before it left, and
+   recentres on the last; so levels are few even where hardly anything links.
 
 No pair closer than r is lost, no cap is set on cells, candidates or levels,
 and a group of copies costs its size: equal sets are one point from the start,
-and near copies link to a pivot instead of to each other.  Pivots over the undivided space
+near copies link to a pivot instead of to each other, and unlinked ones meet again only
+where they share what the pivot lacks.  Pivots over the undivided space
 (whole documents) would not divide it: nearly all distances there are 1.
 
 Sets are kept as 64-bit shingle hashes; two texts are one point if their sets'
@@ -211,64 +218,80 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int, ids: DataFrame
     return found.join(ids, "id", "left_semi")
 
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (p, x) with inter and total, the sizes of intersection and union."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    r"""pairs (p, x) with inter and total, the sizes of intersection and union, and beyond, a prefix of x \\ p, for last pivots.
+
+    A set linked to x lacks (1 - t) |x| of its elements at most, so of any more than that, one is in common; sets are in one order.
+    """
     of = lambda c: sets.select(F.col("id").alias(c), F.col("members").alias(f"{c}_set"))
     both = pairs.join(of("p"), "p").join(of("x"), "x")
-    inter = F.size(F.array_intersect("p_set", "x_set"))
-    return both.select("p", "x", inter.alias("inter"), (F.size("p_set") + F.size("x_set")).alias("sizes")).select("p", "x", "inter", (F.col("sizes") - F.col("inter")).alias("total"))
+    beyond = both.select("p", "x", "last", F.array_except("x_set", "p_set").alias("beyond"), F.size("p_set").alias("n_p"), F.size("x_set").alias("n_x"))
+    total = F.col("n_p") + F.size("beyond")
+    prefix = F.expr(f"n_x * {100 - percent} div 100 + 1").cast("int")
+    return beyond.select("p", "x", (F.col("n_x") - F.size("beyond")).alias("inter"), total.alias("total"), F.when(F.col("last"), F.slice("beyond", F.lit(1), prefix)).alias("beyond"))
+
+
+def _met(entered: DataFrame, pivots: int) -> DataFrame:
+    """(cell, n, x, p, last) for each pivot p of a cell, its smallest sets, and each larger member x.
+
+    last marks the largest pivot with the members beyond it, of which it is no larger than any.
+    """
+    order = Window.partitionBy("cell").orderBy("n", "id")
+    if pivots == 1:
+        first = F.first("id").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        return entered.select("cell", "n", F.col("id").alias("x"), first.alias("p"), F.lit(True).alias("last")).where("x != p")
+    ranked = entered.select("cell", "n", F.col("id").alias("x"), F.row_number().over(order).alias("rank"))
+    own = ranked.where(F.col("rank") <= pivots).select("cell", F.col("x").alias("p"), F.col("rank").alias("p_rank"))
+    last = (F.col("p_rank") == pivots).alias("last")
+    return ranked.join(own, "cell").where(F.col("rank") > F.col("p_rank")).select("cell", "n", "x", "p", last)
+
+
+def _open_cells(entered: DataFrame) -> DataFrame:
+    """The cells of two members or more, one of them open (not linked by the last pivot)."""
+    live = entered.groupBy("cell").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("open").alias("any")).where("a < b and any").select("cell")
+    return entered.join(live, "cell").select("cell", "n", "id").distinct()
 
 
-def links_of(points: DataFrame, sets_for, percent: int) -> DataFrame:
-    """Links (a, b) between points (id, cells) that connect whatever the similarity connects.
+def links_of(entered: DataFrame, sets_for, percent: int) -> DataFrame:
+    """Links (a, b) that connect whatever the similarity connects, among the points of entered (cell, n, id).
 
     sets_for(ids) gives the sets (id, members) of some points.
     """
-    entered = points.select("id", F.explode("cells").alias("cell"))
-    shared = entered.groupBy("cell").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p < q").select("cell")
-    # state: who is still in a cell, and which of them may have unknown links among each other
-    state = materialise(entered.join(shared, "cell").select("cell", F.col("id").alias("x"), F.lit(True).alias("open")))
-    spark, radius, level = points.sparkSession, 1 - percent / 100, 0
+    spark, radius, pivots = entered.sparkSession, 1 - percent / 100, 1
+    met = materialise(_met(entered, pivots))
     links = spark.createDataFrame([], "a long, b long")
-    if state.isEmpty():
-        return links
-    sets = materialise(sets_for(state.select(F.col("x").alias("id")).distinct()))
-    known = None
-    while not state.isEmpty():
-        rank = F.row_number().over(Window.partitionBy("cell").orderBy("x"))
-        if level:
-            pivots = state.where("open").select("cell", F.col("x").alias("p"), rank.alias("k")).where(F.col("k") <= 2**level).drop("k")
-        else:
-            pivots = state.groupBy("cell").agg(F.min("x").alias("p"))
-        met = materialise(state.join(pivots, "cell").where("x != p"))
-        pairs = met.select("p", "x").distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["p", "x"], "left_anti")
-        fresh = materialise(_distances(pairs, sets))
-        known = fresh if known is None else known.unionByName(fresh)
+    sets = None
+    while not met.isEmpty():
+        if sets is None:  # later cells hold no other points
+            sets = materialise(sets_for(met.select(F.col("x").alias("id")).union(met.select("p")).distinct()))
+        pairs = met.groupBy("p", "x").agg(F.max("last").alias("last"))
+        fresh = materialise(_compared(pairs, sets, percent))
         linked = F.col("inter") * 100 >= F.col("total") * percent
         links = links.unionByName(fresh.where(linked).select(F.col("x").alias("a"), F.col("p").alias("b")))
-        seen = met.join(known, ["p", "x"]).select("cell", "p", "x", "open", (1 - F.col("inter") / F.col("total")).alias("d"), linked.alias("linked"))
-        gone = pivots.select("cell", F.col("p").alias("x"))
-        seen = seen.join(gone, ["cell", "x"], "left_anti")
-        member = seen.groupBy("cell", "x").agg((F.first("open") & ~F.max("linked")).alias("open"))
-        window = seen.join(member.where("open").select("cell", "x"), ["cell", "x"]).groupBy("cell", "p").agg((F.min("d") - radius - 1e-9).alias("lo"), (F.max("d") + radius + 1e-9).alias("hi"))
-        inside = seen.join(window, ["cell", "p"]).groupBy("cell", "x").agg(F.min((F.col("d") >= F.col("lo")) & (F.col("d") <= F.col("hi"))).alias("inside"))
-        left = member.join(inside, ["cell", "x"]).where("open or inside").select("cell", "x", "open")
-        many = left.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).where("n > 1 and any").select("cell")
-        state = materialise(left.join(many, "cell", "left_semi"))
-        level += 1
+        told = fresh.select("p", "x", (1 - F.col("inter") / F.col("total")).alias("d"), linked.alias("linked"))
+        seen = met.where("last").join(told, ["p", "x"])
+        # a cell goes on if two members besides its pivots are left, one of them not linked to the last pivot
+        far = F.min(F.when(~F.col("linked"), F.col("d")))
+        left = seen.groupBy("cell").agg(F.count(F.lit(1)).alias("k"), far.alias("far")).where("k > 1 and far is not null").select("cell", "far")
+        stay = seen.join(left, "cell").where(F.col("d") >= F.col("far") - radius - 1e-9).select("p", "x", "n").distinct()
+        beyond = fresh.select("p", "x", "beyond", (~linked).alias("open"))
+        inner = stay.join(beyond, ["p", "x"]).select("p", "n", F.col("x").alias("id"), "open", F.explode("beyond").alias("s"))
+        inner = inner.select(F.xxhash64("p", "s").alias("cell"), "n", "id", "open")
+        pivots *= 4
+        met = materialise(_met(_open_cells(inner), pivots))
     return links
 
 
 def cluster(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles and component_id (the smallest id reachable by links) of every row; ids are whole numbers."""
     points = materialise(_points(docs, id_col, text_col, k, percent))
-    single = points.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.any_value("cells").alias("cells"))
-    single = materialise(single)
-    links = links_of(single, lambda ids: _members(docs, id_col, text_col, k, ids), percent)
+    full = points.where("n > 0")
+    single = full.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("cells").alias("cells"))
+    entered = single.select(F.explode("cells").alias("cell"), F.col("n").cast("int").alias("n"), "id")
+    links = links_of(entered, lambda ids: _members(docs, id_col, text_col, k, ids), percent)
     label = components(links).select(F.col("id").alias("rep"), "component")
-    reps = single.select("d1", "d2", F.col("id").alias("rep")).join(label, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+    reps = full.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
+    reps = reps.join(label, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     empty = points.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    full = points.where("n > 0").join(reps, ["d1", "d2"]).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(empty)
+    named = full.join(reps, ["d1", "d2"]).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return named.unionByName(empty)

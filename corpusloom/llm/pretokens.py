@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from functools import lru_cache
 from pathlib import Path
 
@@ -30,8 +31,12 @@ from tokenizers import Tokenizer  # noqa: E402
 CACHE_UNITS, LONG_UNIT = 400_000, 100
 #: Characters that Python takes for white space and Unicode doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
+#: Letters whose lower case depends on their neighbours, or is two characters.
+_ODD_CASE = re.compile("[\u03a3\u0130]")
 #: Latin letters alone, before white space, a full stop or a comma: a pre-token always ends there.
-_WORD = r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]++(?=[ \n.,]|\Z)"
+_LETTERS = r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]++"
+_WORD = rf"{_LETTERS}(?=[ \n.,]|\Z)"
+_ROW = 256
 _PREFIX_UNITS = re.compile(rf" ?{_WORD}|[.,]++(?=\s|\Z)| ?\S+|\s+(?!\S)|\s+")
 _DROP_UNITS = re.compile(rf"{_WORD}|[.,]++(?=\s|\Z)|\S+")
 
@@ -53,16 +58,41 @@ class UnitEncoder:
         self.tokenizer.encode_special_tokens = True
         self.prefix = json.loads(Path(path).read_text(encoding="utf-8"))["pre_tokenizer"]["type"] == "ByteLevel"
         self.known = _Cache()
+        vocabulary = self.tokenizer.get_vocab()
+        self.marks = np.zeros(1 + max(vocabulary.values()), bool)
+        for token, i in vocabulary.items():
+            self.marks[i] = token.startswith("\u0120") if self.prefix else token.endswith("</w>")
+        self.plain = re.compile((" " if self.prefix else "") + _LETTERS).fullmatch
 
     def units(self, text: str) -> list[str]:
         """The units of a text; a text that can't be cut safely is one unit."""
         if _ODD.search(text):
             return [text]
-        return _PREFIX_UNITS.findall(text) if self.prefix else _DROP_UNITS.findall(text)
+        if self.prefix:
+            return _PREFIX_UNITS.findall(text)
+        if unicodedata.is_normalized("NFC", text) and not _ODD_CASE.search(text):
+            text = text.lower()  # as the tokenizer does next, and distinct units are fewer
+        return _DROP_UNITS.findall(text)
 
     def _encoded(self, units: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
-        return {unit: np.array(x.ids, "<u4").tobytes() for unit, x in zip(units, found, strict=True)}
+        """The ids of each unit.  Plain words go in rows of many, which their tokens' space or end mark cuts again."""
+        plain = [u for u in units if self.plain(u)]
+        rest = [u for u in units if not self.plain(u)]
+        out = {}
+        rows = [plain[i : i + _ROW] for i in range(0, len(plain), _ROW)]
+        found = self.tokenizer.encode_batch_fast([("" if self.prefix else " ").join(r) for r in rows], add_special_tokens=False)
+        for row, x in zip(rows, found, strict=True):
+            ids = np.array(x.ids, "<u4")
+            cut = np.flatnonzero(self.marks[ids])
+            if len(cut) != len(row):
+                rest += row
+                continue
+            edges = [*(4 * cut).tolist(), 4 * len(ids)] if self.prefix else [0, *(4 * cut + 4).tolist()]
+            data = ids.tobytes()
+            out.update((unit, data[a:b]) for unit, a, b in zip(row, edges[:-1], edges[1:], strict=True))
+        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        out.update((unit, np.array(x.ids, "<u4").tobytes()) for unit, x in zip(rest, found, strict=True))
+        return out
 
     def unit_ids(self, cut: list[list[str]]) -> list[list[bytes]]:
         """The ids of each unit of each text."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder, whose files outlive executors."""
+    """df, computed once: a Parquet table in the checkpoint folder, whose files outlive executors.
+
+    The plan that follows starts at the table, without what the optimiser knew of df.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once, with its partitions and their order kept."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
