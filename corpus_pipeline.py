@@ -1,11 +1,80 @@
-"""The training-data pipeline: its stages over documents."""
+"""The training-data pipeline over documents: each stage applies one operator and its decisions take effect.
 
-STAGES = []
+doc_id names a document: rows that share one are one document, and rows without one pass
+the near-duplicate and decontamination stages untouched.  Extra columns stay until the last stage.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import best_fit_packing, jaccard_join, quality_rules, secret_scan, winnowing
+from corpusloom.llm.tables import materialise
+
+CAPACITY = 2048
+#: Ids that may be broadcast: 16 bytes each in memory, so 16 MB at most; beyond that the join shuffles.
+BROADCAST_IDS = 1_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but those whose doc_id is in ids."""
+    ids = materialise(ids.where(F.col("doc_id").isNotNull()).distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.apply_rules(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each component of 5-word shingle sets 80 per cent alike."""
+    found = jaccard_join.cluster(docs, k=5, percent=80)
+    kept = _without(docs, found.where("component_id != doc_id").select("doc_id"))
+    repeated = materialise(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    many = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return _without(kept, repeated).unionByName(many)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, winnowing.find_overlaps(docs, items).where("n_hit > 0").select("doc_id"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark; n_chars follows the text."""
+    text = secret_scan.redacted(F.col("text"), secret_scan.scan(F.col("text")))
+    out = docs.withColumn("text", text)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece: its ids' digest, sequence and offset in sequences of 2048 ids."""
+    pieces = best_fit_packing.pieces_of(docs, public_tokenizers.path("byte_bpe_50k.json"), CAPACITY)
+    return best_fit_packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), CAPACITY)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("secret scans", secrets),
+    ("best-fit packing", packing),
+]
+#: SQL cannot express the tokenizer of the last stage; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as a table that the next one reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

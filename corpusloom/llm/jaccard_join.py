@@ -39,7 +39,8 @@ Sets are kept as 64-bit shingle hashes; two texts are one point if their sets'
 
 Defined results: a null text, or one without words, has an empty set and links
 with nothing; with fewer than k words, the whole sequence is the one shingle.
-Repeated rows get repeated results; other columns are not read.
+Repeated rows get repeated results; rows of one id are one document, and a row
+without an id links with nothing.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -286,12 +287,12 @@ def cluster(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     """id_col, n_shingles and component_id (the smallest id reachable by links) of every row; ids are whole numbers."""
     points = materialise(_points(docs, id_col, text_col, k, percent))
     full = points.where("n > 0")
-    single = full.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("cells").alias("cells"))
+    single = full.where("id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("cells").alias("cells"))
     entered = single.select(F.explode("cells").alias("cell"), F.col("n").cast("int").alias("n"), "id")
     links = links_of(entered, lambda ids: _members(docs, id_col, text_col, k, ids), percent)
     label = components(links).select(F.col("id").alias("rep"), "component")
-    reps = full.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
+    reps = full.where("id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     reps = reps.join(label, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     empty = points.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    named = full.join(reps, ["d1", "d2"]).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    named = full.join(reps, ["d1", "d2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     return named.unionByName(empty)

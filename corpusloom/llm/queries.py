@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, compression_distance, hilbert_sharding, jaccard_join, quality_rules, secret_scan, token_files, winnowing
+from . import best_fit_packing, compression_distance, crf_extraction, edit_counts, hilbert_sharding, jaccard_join, quality_rules, secret_scan, token_files, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return crf_extraction.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets are 90 per cent alike."""
     return jaccard_join.cluster(_table(spark, sf_dir, "documents"), k=3, percent=90)
@@ -33,6 +38,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(digests, 2048)
 
 
+def op5_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, before and after the house edits."""
+    return edit_counts.counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of every document; labels of the held-out fold are never read."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -80,7 +90,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_jaccard_join, op3_quality_rules, op4_best_fit_packing, op6_compression_distance, op7_winnowing, op8_hilbert_sharding, op9_token_files, op10_secret_scan)
+    named = (op1_crf_extraction, op2_jaccard_join, op3_quality_rules, op4_best_fit_packing, op5_edit_counts, op6_compression_distance, op7_winnowing, op8_hilbert_sharding, op9_token_files, op10_secret_scan)
     return {f.__name__: f for f in named}
 
 
