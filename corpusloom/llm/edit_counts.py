@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import _ODD, UnitEncoder, batches_of, encoder
+from .pretokens import UnitEncoder, batches_of, encoder, odd
 
 LEAF = 64
 Edit = tuple[int, int, str]  # from, to (code points of the text as it is by then), replacement
@@ -114,15 +114,15 @@ class TokenTree:
             _, ahead = self._gather(high, 2, 1)
             region = "".join(before) + changed + "".join(after)
             text = region + "".join(ahead)
-            odd = bool(_ODD.search(text)) or any(_ODD.search(u) for u in touched)
+            strange = odd(text) or odd(old)
             fresh, at = [], 0
-            for unit in [] if odd else self.encode.units(text):
+            for unit in [] if strange else self.encode.units(text):
                 if at >= len(region):
                     break
                 fresh.append(unit)
                 at += len(unit)
             whole = len(before) < reach and not ahead
-            if not odd and at == len(region) and (len(before) < reach or fresh[:1] == before[:1]):
+            if not strange and at == len(region) and (len(before) < reach or fresh[:1] == before[:1]):
                 break
             if whole:
                 fresh = self.encode.units(region) if region else []
