@@ -15,24 +15,19 @@ link when d <= r = 1 - t.  The join divides the space, recursively:
    point is the pivot of its cell; a document enters a cell for each class.
    Documents with too few such classes (mostly the smallest sets) also enter a
    cell for each shingle of their prefix, which finds all pairs among them.
-3. Pivots within a cell.  A cell's pivot p is its smallest set; every other
-   member's exact distance to it is taken.  Members within r are linked to it and
-   need not be compared with each other, as they are connected already.  The
-   rest recurses in the space recentred on p, where a member x is the set
-   x \ p of what it has beyond p: symmetric differences are the same after
-   recentring, and as no member is smaller than p, a linked pair that p does not
-   connect has an element beyond p in common (a sum of the three triangle inequalities).  So each such element is
-   a cell of the next recursion.  Members linked to p take part only if their
-   distance to p lies in the triangle-inequality window of the others, d(x, p)
-   >= min d(others, p) - r.  Each level uses four times as many pivots as the one
-   before, each the smallest of the members that the ones before it left, and
-   recentres on the last; so levels are few even where hardly anything links.
-
-No pair closer than r is lost, no cap is set on cells, candidates or levels,
-and a group of copies costs its size: equal sets are one point from the start,
-near copies link to a pivot instead of to each other, and unlinked ones meet again only
-where they share what the pivot lacks.  Pivots over the undivided space
-(whole documents) would not divide it: nearly all distances there are 1.
+3. Regions. Documents that share a cell, directly or in a chain, make a region;
+   regions join by themselves.  A region's members in order of size are cut into
+   blocks of bounded size, and a block meets those whose sizes the window admits.
+4. Recursion in a block. Each member in turn is the pivot of those that are
+   left, with a finer projection: the number of classes in which two sets differ is no more than
+   their symmetric difference, so only members for which it is small enough, and
+   that are not connected to the pivot yet, are compared with it exactly.
+   Blocks give a spanning forest of their links, not all pairs.
+
+No pair closer than r is lost, and no cap is set on cells, regions or
+candidates.  Equal sets are one point from the start, so a group of copies costs
+its size; of near copies, a forest of links leaves the task that found them.  Pivots over
+the undivided space (whole documents) would not divide it: nearly all distances there are 1.
 
 Sets are kept as 64-bit shingle hashes; two texts are one point if their sets'
 128-bit sums agree.
@@ -59,6 +54,7 @@ from .tables import materialise
 from .wordhash import SPACED, Words, grams, mix, of_texts, signed
 
 RING = 1.25
+BLOCK = 1 << 19
 FILTER_BITS = 1 << 24
 _SEEDS = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
@@ -219,76 +215,89 @@ def _members(docs: DataFrame, id_col: str, text_col: str, k: int, ids: DataFrame
     return found.join(ids, "id", "left_semi")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    r"""pairs (p, x) with inter and total, the sizes of intersection and union, and beyond, a prefix of x \\ p, for last pivots.
-
-    A set linked to x lacks (1 - t) |x| of its elements at most, so of any more than that, one is in common; sets are in one order.
-    """
-    of = lambda c: sets.select(F.col("id").alias(c), F.col("members").alias(f"{c}_set"))
-    both = pairs.join(of("p"), "p").join(of("x"), "x")
-    beyond = both.select("p", "x", "last", F.array_except("x_set", "p_set").alias("beyond"), F.size("p_set").alias("n_p"), F.size("x_set").alias("n_x"))
-    total = F.col("n_p") + F.size("beyond")
-    prefix = F.expr(f"n_x * {100 - percent} div 100 + 1").cast("int")
-    return beyond.select("p", "x", (F.col("n_x") - F.size("beyond")).alias("inter"), total.alias("total"), F.when(F.col("last"), F.slice("beyond", F.lit(1), prefix)).alias("beyond"))
+class Region:
+    """Sets of a block, or of two blocks that meet, and the links found among them."""
+
+    def __init__(self, sets: list[np.ndarray], sides: np.ndarray, percent: int):
+        self.sets, self.sides, self.percent = sets, sides, percent
+        self.size = np.array([len(x) for x in sets])
+        widest = int(self.size.max(initial=1))
+        classes = min(2048, max(16, 8 * widest * (100 - percent) // (100 + percent)))
+        self.profile = np.zeros((len(sets), classes), np.uint64)
+        for row, x in zip(self.profile, sets, strict=True):
+            c = (mix(x ^ _SEEDS[2]) >> np.uint64(32)) * np.uint64(classes) >> np.uint64(32)
+            np.add.at(row, c.astype(np.int64), mix(x ^ _SEEDS[1]))
+        self.profile = mix(self.profile).astype(np.uint32)
+
+    def linked(self, i: int, j: int) -> bool:
+        inter = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
+        return inter * 100 >= (self.size[i] + self.size[j] - inter) * self.percent
+
+    def forest(self) -> list[tuple[int, int]]:
+        """Links that connect whatever the links of this region connect; the sets are in order of size."""
+        label, out = np.arange(len(self.sets)), []
+        two = self.sides.min() != self.sides.max()
+        for i in range(len(self.sets) - 1):
+            end = np.searchsorted(self.size, self.size[i] * 100 // self.percent, "right")
+            rest = np.arange(i + 1, end)
+            rest = rest[(label[rest] != label[i]) & ((self.sides[rest] != self.sides[i]) | (not two))]
+            if not len(rest):
+                continue
+            most = (self.size[rest] + self.size[i]) * (100 - self.percent) // (100 + self.percent)
+            for j in rest[(self.profile[rest] != self.profile[i]).sum(1) <= most]:
+                if label[j] != label[i] and self.linked(i, j):
+                    label[label == label[j]] = label[i]
+                    out.append((i, int(j)))
+        return out
 
 
-def _met(entered: DataFrame, pivots: int) -> DataFrame:
-    """(cell, n, x, p, last) for each pivot p of a cell, its smallest sets, and each larger member x.
+def _blocks(sizes: DataFrame, percent: int) -> DataFrame:
+    """(region, i, j, side, id): members (region, id, n) of each two blocks that meet, i = j included.
 
-    last marks the largest pivot with the members beyond it, of which it is no larger than any.
+    Blocks hold about BLOCK elements, in order of size; the window leaves out blocks too far apart in size.
     """
-    order = Window.partitionBy("cell").orderBy("n", "id")
-    if pivots == 1:
-        first = F.first("id").over(order.rowsBetween(Window.unboundedPreceding, 0))
-        return entered.select("cell", "n", F.col("id").alias("x"), first.alias("p"), F.lit(True).alias("last")).where("x != p")
-    ranked = entered.select("cell", "n", F.col("id").alias("x"), F.row_number().over(order).alias("rank"))
-    own = ranked.where(F.col("rank") <= pivots).select("cell", F.col("x").alias("p"), F.col("rank").alias("p_rank"))
-    last = (F.col("p_rank") == pivots).alias("last")
-    return ranked.join(own, "cell").where(F.col("rank") > F.col("p_rank")).select("cell", "n", "x", "p", last)
-
-
-def _open_cells(entered: DataFrame) -> DataFrame:
-    """The cells of two members or more, one of them open (not linked by the last pivot)."""
-    live = entered.groupBy("cell").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("open").alias("any")).where("a < b and any").select("cell")
-    return entered.join(live, "cell").select("cell", "n", "id").distinct()
+    order = Window.partitionBy("region").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, 0)
+    cut = sizes.withColumn("before", F.sum("n").over(order) - F.col("n")).withColumn("block", F.expr(f"before div {BLOCK}"))
+    spans = cut.groupBy("region", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    left = spans.select("region", F.col("block").alias("i"), "hi")
+    right = spans.select("region", F.col("block").alias("j"), "lo")
+    meet = left.join(right, "region").where((F.col("i") <= F.col("j")) & (F.col("hi") * 100 >= F.col("lo") * percent))
+    sides = meet.select("region", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("block"))
+    return cut.select("region", "block", "id").join(sides, ["region", "block"]).select("region", "i", "j", F.col("block").alias("side"), "id")
 
 
 def links_of(entered: DataFrame, sets_for, percent: int) -> DataFrame:
-    """Links (a, b) that connect whatever the similarity connects, among the points of entered (cell, n, id).
+    """Links (a, b) that connect whatever the similarity connects, among the points of entered (cell, id).
 
     sets_for(ids) gives the sets (id, members) of some points.
     """
-    spark, radius, pivots = entered.sparkSession, 1 - percent / 100, 1
-    met = materialise(_met(entered, pivots))
-    links = spark.createDataFrame([], "a long, b long")
-    sets = None
-    while not met.isEmpty():
-        if sets is None:  # later cells hold no other points
-            sets = materialise(sets_for(met.select(F.col("x").alias("id")).union(met.select("p")).distinct()))
-        pairs = met.groupBy("p", "x").agg(F.max("last").alias("last"))
-        fresh = materialise(_compared(pairs, sets, percent))
-        linked = F.col("inter") * 100 >= F.col("total") * percent
-        links = links.unionByName(fresh.where(linked).select(F.col("x").alias("a"), F.col("p").alias("b")))
-        told = fresh.select("p", "x", (1 - F.col("inter") / F.col("total")).alias("d"), linked.alias("linked"))
-        seen = met.where("last").join(told, ["p", "x"])
-        # a cell goes on if two members besides its pivots are left, one of them not linked to the last pivot
-        far = F.min(F.when(~F.col("linked"), F.col("d")))
-        left = seen.groupBy("cell").agg(F.count(F.lit(1)).alias("k"), far.alias("far")).where("k > 1 and far is not null").select("cell", "far")
-        stay = seen.join(left, "cell").where(F.col("d") >= F.col("far") - radius - 1e-9).select("p", "x", "n").distinct()
-        beyond = fresh.select("p", "x", "beyond", (~linked).alias("open"))
-        inner = stay.join(beyond, ["p", "x"]).select("p", "n", F.col("x").alias("id"), "open", F.explode("beyond").alias("s"))
-        inner = inner.select(F.xxhash64("p", "s").alias("cell"), "n", "id", "open")
-        pivots *= 4
-        met = materialise(_met(_open_cells(inner), pivots))
-    return links
+    spark = entered.sparkSession
+    # a cell as a star: its first member with each other one; one shuffle, and a cell is never held in memory
+    first = F.first("id").over(Window.partitionBy("cell").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    met = materialise(entered.select(F.col("id").alias("a"), first.alias("b")).where("a != b").distinct())
+    if met.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
+    regions = components(met).withColumnRenamed("component", "region")
+    sets = materialise(sets_for(regions.select("id")).join(regions, "id"))
+    placed = _blocks(sets.select("region", "id", F.size("members").cast("long").alias("n")), percent)
+
+    def join(key: tuple, rows: pa.Table) -> pa.Table:
+        members = rows.column("members").combine_chunks()
+        flat, at = members.values.to_numpy().view(np.uint64), members.offsets.to_numpy()
+        order = np.lexsort((rows.column("id").to_numpy(), np.diff(at)))
+        ids, sides = rows.column("id").to_numpy()[order], rows.column("side").to_numpy()[order]
+        found = Region([flat[at[k] : at[k + 1]] for k in order], sides, percent).forest()
+        return pa.table({"a": pa.array([int(ids[j]) for _, j in found], pa.int64()), "b": pa.array([int(ids[i]) for i, _ in found], pa.int64())})
+
+    return placed.join(sets.select("id", "members"), "id").groupBy("region", "i", "j").applyInArrow(join, "a long, b long")
 
 
 def cluster(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles and component_id (the smallest id reachable by links) of every row; ids are whole numbers."""
     points = materialise(_points(docs, id_col, text_col, k, percent))
     full = points.where("n > 0")
-    single = full.where("id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("cells").alias("cells"))
-    entered = single.select(F.explode("cells").alias("cell"), F.col("n").cast("int").alias("n"), "id")
+    single = full.where("id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("cells").alias("cells"))
+    entered = single.select(F.explode("cells").alias("cell"), "id")
     links = links_of(entered, lambda ids: _members(docs, id_col, text_col, k, ids), percent)
     label = components(links).select(F.col("id").alias("rep"), "component")
     reps = full.where("id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
