@@ -22,7 +22,7 @@ def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, m
     """(left_id, right_id, distance) of all pairs within max_bits (six at most); both sides have simhash."""
     if max_bits > 6:
         raise ValueError("seven bands find distances of six bits at most")
-    cut = lambda rows, i, f: rows.select(F.col(i), F.col("simhash").alias(f), F.explode(bands(F.col("simhash"))).alias("b")).select(i, f, "b.*")
+    cut = lambda rows, i, f: rows.select(F.col(i), F.col("simhash").alias(f), F.explode(bands(F.col("simhash"))).alias("_band")).select(i, f, "_band.*")
     met = cut(left, left_id, "_l").join(cut(right, right_id, "_r"), ["band", "value"])
     met = met.withColumn("distance", hamming(F.col("_l"), F.col("_r"))).where(F.col("distance") <= max_bits)
     # a pair may meet in several bands; the first one that agrees stands for it

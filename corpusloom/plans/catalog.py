@@ -291,13 +291,13 @@ def difficulty_bucket(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", X.difficulty(F.col("n_chars").cast("string")).alias("rated"), X.difficulty(word).alias("named"))
 
 
-@_registered("select d.doc_id, l.quality as answer, case when l.doc_id is null then 'missing_question' end as reason from documents d left join labels l on d.doc_id = l.doc_id")
+@_registered("select d.doc_id, coalesce(l.quality, -1) as answer, case when l.doc_id is null then 'missing_question' end as reason from documents d left join labels l on d.doc_id = l.doc_id")
 def question_lookup(spark, sf_dir):
     labels = _t(spark, sf_dir, "labels")
     questions = labels.select(F.lit("d").alias("dataset"), F.lit("s").alias("split"), F.col("doc_id").cast("string").alias("index"), F.col("quality").cast("string").alias("question"), F.col("doc_id").alias("ord"))
     asked = _t(spark, sf_dir, "documents").select("doc_id", F.lit("d").alias("dataset"), F.lit("s").alias("split"), F.col("doc_id").cast("string").alias("index"))
     found = adapt.lookup_questions(asked, questions)
-    return found.select("doc_id", F.col("question").cast("int").alias("answer"), F.when(F.col("question").isNull(), "missing_question").alias("reason"))
+    return found.select("doc_id", F.coalesce(F.col("question").cast("int"), F.lit(-1)).alias("answer"), F.when(F.col("question").isNull(), "missing_question").alias("reason"))
 
 
 
