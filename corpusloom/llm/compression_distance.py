@@ -1,12 +1,13 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on toxic text,
-namely on the runs of characters that toxic documents have and ordinary ones
-hardly ever do.  Each window of a text is compressed with the ordinary
-dictionary alone and with the toxic one added to it; the bytes that the toxic dictionary
-saves are the window's gain.  Thresholds on gains are calibrated on labelled
-documents: a logistic model of the greatest gain and of how many windows reach
-each threshold gives the score.
+Marks are the runs of characters that toxic documents have, or repeat, and ordinary ones
+hardly ever do.  There are three zstandard dictionaries: one trained on ordinary text, one of the marks
+that tell by their presence, and one of those that tell by being repeated (word stems that
+ordinary documents hold once).  Each window of a text is compressed with the ordinary
+dictionary alone and with those of the marks added to it; the bytes that either of
+these saves are the window's gains.  Thresholds on gains are calibrated on labelled
+documents: a logistic model of the greatest gains and of how many windows, and what share of
+them, reach each threshold gives the score.
 
 Bounds: training reads at most ``SAMPLE`` labelled documents of each class, those
 whose ids hash lowest, and none of over ``SAMPLE_CHARS`` characters; dictionaries and
@@ -20,12 +21,13 @@ the share of toxic labels (0 without labels).  Labels of the same id count as to
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import random
-import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -36,7 +38,12 @@ from pyspark.sql import functions as F
 
 SAMPLE, SAMPLE_CHARS = 2500, 20_000
 WINDOW, STRIDE = 30, 18
-GRAM, LEAST_SEEN, LEAST_ODDS = 5, 4, 4.0
+#: Lengths of grams, and how often a text may have to hold one.
+GRAMS, REPEATS, LEAST_SEEN, LEAST_ODDS = (5, 6, 8, 10), (1, 2, 3, 4, 6), 4, 4.0
+#: A mark grows by the letter beside it in this share of its words; marks inside words go on to so many characters.
+GROWTH, LEAST_RUN = 0.8, 9
+#: Of the hashes that find near copies.
+SALTS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 2048
 THRESHOLDS = (3, 4, 5, 6, 7, 8)
 _EDGE = ".,!?;:\"'()[]"
@@ -49,6 +56,7 @@ class Model:
 
     ordinary: str  # latin-1
     toxic: str
+    repeated: str
     weights: list[float]
 
     def dumps(self) -> str:
@@ -59,8 +67,8 @@ def _words(text: str) -> list[str]:
     return [f" {w.strip(_EDGE)} " for w in text.lower().split()]
 
 
-def _grams(word: str) -> list[str]:
-    return [word[i : i + GRAM] for i in range(len(word) - GRAM + 1)]
+def _grams(word: str) -> set[str]:
+    return {word[i : i + n] for n in GRAMS for i in range(len(word) - n + 1)}
 
 
 def _dictionary(samples: list[str], size: int) -> bytes:
@@ -75,39 +83,138 @@ def _dictionary(samples: list[str], size: int) -> bytes:
         return "".join(dict.fromkeys(samples)).encode()[:size]
 
 
-def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """Contents of the ordinary and the toxic dictionary, from texts of either class."""
-    rng = random.Random(7)
-    seen: list[Counter] = []
-    for texts in (toxic, ordinary):
-        count: Counter = Counter()
-        for t in texts:
-            count.update({g for w in set(_words(t)) for g in _grams(w)})
-        seen.append(count)
+def _repeats(texts: list[str], grams_of: Callable[[str], set[str]]) -> Iterator[Counter]:
+    """For each text, how many of its words hold each gram that grams_of finds in them."""
+    known: dict[str, set[str]] = {}
+    for t in texts:
+        here: Counter = Counter()
+        for w, k in Counter(_words(t)).items():
+            if w not in known:
+                known[w] = grams_of(w)
+            for g in known[w]:
+                here[g] += k
+        yield here
+
+
+def _levels(texts: list[str], grams_of: Callable[[str], set[str]]) -> Counter:
+    """In how many texts each gram occurs at least so often, by gram and level of REPEATS."""
+    count: Counter = Counter()
+    for here in _repeats(texts, grams_of):
+        for g, k in here.items():
+            for r in REPEATS:
+                if k < r:
+                    break
+                count[g, r] += 1
+    return count
+
+
+def _families(texts: list[str]) -> list[str]:
+    """texts without those that share a least hash of 5-word runs with an earlier one: near copies are one piece of evidence."""
+    met: list[set[int]] = [set() for _ in SALTS]
+    out = []
+    for t in texts:
+        ws = t.lower().split()
+        runs = {zlib.crc32(" ".join(ws[i : i + 5]).encode()) for i in range(max(1, len(ws) - 4))}
+        least = [min(h * s & 0xFFFFFFFF for h in runs) for s in SALTS]
+        if not any(h in m for h, m in zip(least, met, strict=True)):
+            out.append(t)
+        for h, m in zip(least, met, strict=True):
+            m.add(h)
+    return out
+
+
+def marks(toxic: list[str], ordinary: list[str]) -> dict[str, int]:
+    """The grams that tell toxic texts from ordinary ones, each with its level: how often a toxic text holds it at least.
+
+    Each is the gram that reaches its level in the most toxic texts, not counting the words that earlier ones are part of.
+    """
+    toxic, ordinary = _families(toxic), _families(ordinary)
     least = LEAST_SEEN if len(toxic) >= 100 else 2
     base = math.log((len(toxic) + 1) / (len(ordinary) + 1))
-    odds = lambda g, n: math.log((n + 0.5) / (seen[1][g] + 0.5)) - base
-    marked = {g for g, n in seen[0].items() if n >= least and odds(g, n) > LEAST_ODDS}
-
-    def runs(word: str) -> list[str]:
-        hit = bytearray(len(word))
-        for i, g in enumerate(_grams(word)):
-            if g in marked:
-                hit[i : i + GRAM] = b"\1" * GRAM
-        return [word[m.start() : m.end()] for m in re.finditer(b"\1+", bytes(hit))]
-
-    known: dict[str, list[str]] = {}
+    seen = _levels(toxic, _grams)
+    wanted = {g for (g, _), n in seen.items() if n >= least}
+    other = _levels(ordinary, lambda w: _grams(w) & wanted)
+    levels: dict[str, list[int]] = {}
+    for (g, r), n in seen.items():
+        if n >= least and math.log((n + 0.5) / (other[g, r] + 0.5)) - base > LEAST_ODDS:
+            levels.setdefault(g, []).append(r)
+    holding: dict[str, dict[int, int]] = {}  # word: text: times
+    of: dict[str, set[str]] = {}
+    for i, t in enumerate(toxic):
+        for w, k in Counter(_words(t)).items():
+            if w not in of:
+                of[w] = _grams(w) & levels.keys()
+            if of[w]:
+                holding.setdefault(w, {})[i] = k
+    left = list(_repeats(toxic, lambda w: of[w]))
+    reach = {(g, r): 0 for g, rs in levels.items() for r in rs}
+    words: dict[str, set[str]] = {}
+    for here in left:
+        for g, k in here.items():
+            for r in levels[g]:
+                reach[g, r] += k >= r
+    for w in holding:
+        for g in of[w]:
+            words.setdefault(g, set()).add(w)
+    chosen: dict[str, int] = {}
+    while reach:
+        (gram, level), n = max(reach.items(), key=lambda q: (q[1], -len(q[0][0]), q[0]))
+        if n < least:
+            break
+        chosen.setdefault(gram, level)
+        for w in list(words[gram]):
+            for i, k in holding[w].items():
+                for g in of[w]:
+                    before = left[i][g]
+                    left[i][g] = before - k
+                    for r in levels[g]:
+                        reach[g, r] -= before >= r > before - k
+            for g in of[w]:
+                words[g].discard(w)
+    return chosen
+
+
+def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes, bytes]:
+    """Contents of the dictionaries of ordinary text, of present marks and of repeated ones, from texts of either class."""
+    rng = random.Random(7)
+    chosen = marks(toxic, ordinary)
     found: Counter = Counter()
     for t in toxic:
-        for w in _words(t):
-            if w not in known:
-                known[w] = runs(w)
-            found.update(known[w])
-    toxic_samples = [r for r, n in sorted(found.items()) for _ in range(min(n, 40))]
-    ordinary_samples = [w for t in ordinary for w in _words(t)[:400]]
-    rng.shuffle(toxic_samples)
+        found.update(_words(t))
+    ordinary_samples = [w for t in ordinary for w in _words(t)[:400] if not any(g in w for g in chosen)]  # what a mark saves must not be saved already
     rng.shuffle(ordinary_samples)
-    return _dictionary(ordinary_samples[:150_000], ORDINARY_BYTES), _dictionary(toxic_samples, TOXIC_BYTES)
+    present, repeated = ([g for g, r in chosen.items() if (r > 1) == kind] for kind in (False, True))
+    return _dictionary(ordinary_samples[:150_000], ORDINARY_BYTES), _wording(found, present, TOXIC_BYTES), _wording(found, repeated, TOXIC_BYTES)
+
+
+def _wording(found: Counter, chosen: list[str], size: int) -> bytes:
+    """Marks, grown by the letters beside them and then begun runs by turns, as many as go into size bytes; the first ones last, where matches are cheapest."""
+    queues = []
+    for g in chosen:
+        words = {w: n for w, n in found.items() if g in w}
+        while True:
+            longer: Counter = Counter()
+            for w, n in words.items():
+                i = w.index(g)
+                longer.update({w[max(0, i - 1) : i + len(g)]: n} if i else {})
+                longer.update({w[i : i + len(g) + 1]: n} if i + len(g) < len(w) else {})
+            best, n = max(longer.items(), key=lambda q: (q[1], q[0]), default=("", 0))
+            if n < GROWTH * sum(words.values()):
+                break
+            g = best
+            words = {w: n for w, n in words.items() if g in w}
+        starts: Counter = Counter()
+        for w, n in words.items():
+            starts[w[w.index(g) :][: max(len(g), LEAST_RUN)]] += n
+        queues.append([r for r, _ in sorted(starts.items(), key=lambda q: (-q[1], q[0]))])
+    taken: dict[str, None] = {}
+    room = size
+    for turn in itertools.zip_longest(*queues):
+        for r in turn:
+            if r is not None and r not in taken and len(r.encode()) <= room:
+                taken[r] = None
+                room -= len(r.encode())
+    return "".join(reversed(taken)).encode()
 
 
 class Scorer:
@@ -123,18 +230,25 @@ class Scorer:
             data.precompute_compress(compression_params=parameters)
             return zstandard.ZstdCompressor(dict_data=data, compression_params=parameters).compress
 
-        ordinary, toxic = model.ordinary.encode("latin-1"), model.toxic.encode("latin-1")
-        self.plain, self.marked = compressor(ordinary), compressor(ordinary + toxic)
+        ordinary, toxic, repeated = (c.encode("latin-1") for c in (model.ordinary, model.toxic, model.repeated))
+        self.plain, self.marked = compressor(ordinary), compressor(ordinary + repeated + toxic)
+        self.kinds = [compressor(ordinary + c) for c in (toxic, repeated)]
 
     def features(self, text: str) -> np.ndarray:
         data = f" {text.lower()} ".encode()
         plain, marked = self.plain, self.marked
         windows = [data[i : i + WINDOW] for i in range(0, max(1, len(data) - WINDOW + STRIDE), STRIDE)]
-        gains = [len(plain(w)) - len(marked(w)) for w in windows]
-        top = max(gains)
-        reach = [sum(g >= t for g in gains) for t in THRESHOLDS] if top >= THRESHOLDS[0] else [0] * len(THRESHOLDS)
-        n = len(gains)
-        return np.array([1.0, math.log(n), max(0, top), *(math.log1p(k) for k in reach), *(math.sqrt(k / n) for k in reach)])
+        n, of = len(windows), ([], [])
+        for w in windows:
+            size = len(plain(w))
+            if size - len(marked(w)) >= THRESHOLDS[0]:
+                for gains, compress in zip(of, self.kinds, strict=True):
+                    gains.append(size - len(compress(w)))
+        out = [1.0, math.log(n)]
+        for gains in of:
+            reach = [sum(g >= t for g in gains) for t in THRESHOLDS]
+            out += [max(0, *gains) if gains else 0, *(math.log1p(k) for k in reach), *(math.sqrt(k / n) for k in reach)]
+        return np.array(out)
 
     def score(self, text: str) -> float:
         if not len(self.weights):
@@ -165,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     size = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}  # two rows
     total = sum(size.values())
     if len(size) < 2:
-        return Model("", "", [size.get(1, 0) / total] if total else [])
+        return Model("", "", "", [size.get(1, 0) / total] if total else [])
     order = F.xxhash64(F.col(id_col))
     lowest = lambda kind: known.where(F.col("_toxic") == kind).orderBy(order).limit(SAMPLE)
     chosen = lowest(0).unionByName(lowest(1))  # 2 * SAMPLE rows at most
@@ -173,9 +287,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = docs.select(id_col, text).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), id_col).orderBy(id_col, "text").select("text", "_toxic").collect()
     by_class = [[r.text for r in sample if r["_toxic"] == k] for k in (0, 1)]
     if not all(by_class):
-        return Model("", "", [size[1] / total])
-    ordinary, toxic = train_dictionaries(by_class[1], by_class[0])
-    model = Model(ordinary.decode("latin-1"), toxic.decode("latin-1"), [])
+        return Model("", "", "", [size[1] / total])
+    ordinary, toxic, repeated = train_dictionaries(by_class[1], by_class[0])
+    model = Model(ordinary.decode("latin-1"), toxic.decode("latin-1"), repeated.decode("latin-1"), [])
     spark = docs.sparkSession
     rows = spark.createDataFrame([(i, r.text) for i, r in enumerate(sample)], "i long, text string").repartition(max(8, spark.sparkContext.defaultParallelism))
     data = model.dumps()

@@ -352,6 +352,23 @@ def test_toxicity(spark):
     assert none == 0.0
 
 
+def test_toxicity_of_repeated_stems(spark):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(600):
+        words = prose(rng, rng.randint(60, 90)).split()
+        toxic = i % 4 == 0
+        for _ in range(6 if toxic else int(rng.random() < 0.2)):
+            words.insert(rng.randrange(len(words)), rng.choice(["réeux", "achlich"]) + "".join(rng.choices("aeiourst", k=rng.randint(2, 5))))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    model = C.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int").where(~C.in_fold("doc_id")))
+    got = {r.doc_id: r.score for r in C.score(frame(spark, rows), model).collect()}
+    held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([got[i] >= 0.7 for i in held if i % 4 == 0]) > 0.9
+    assert np.mean([got[i] >= 0.7 for i in held if i % 4]) < 0.05
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(2)
     clean = "the river and the stone of the green house in light "
