@@ -3,7 +3,8 @@
 documents are training rows, and those with doc_id % 5 = 0 the evaluation side;
 labels.quality is the judgement; events are generation records (user: problem,
 row number: sample, event type: outcome); conversations are prompts and
-responses.  Every query reads its whole tables.
+responses.  Every query reads its whole tables, except that pass_at_k
+counts the first 8 events of users with 8 or more (pass_at_k_all counts all).
 """
 
 from __future__ import annotations
@@ -246,6 +247,20 @@ def pass_at_k(spark, sf_dir):
     return by.select("user_id", "c", at(1).alias("pass_at_1"), F.round(at(3), 9).alias("pass_at_3"), F.round(at(8), 9).alias("pass_at_8"))
 
 
+def _at_k_sql(k: int) -> str:
+    missed = " * ".join(f"((n - c - {i}) / (n - {i}))" for i in range(k))
+    return f"case when n < {k} then null when n - c < {k} then 1.0::double else round(1.0::double - {missed}, 9) end as pass_at_{k}"
+
+
+@_registered(f"""with p as (select user_id, count(*)::double as n, (count(*) filter (value > 60))::double as c from events group by 1)
+ select user_id, n::bigint as n, c::bigint as c, {", ".join(map(_at_k_sql, (1, 3, 8)))} from p""")
+def pass_at_k_all(spark, sf_dir):
+    """pass@1, 3 and 8 of every user from all of its events; null where there are fewer than k."""
+    by = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 60).alias("c"))
+    at = lambda k: F.when(F.col("n") >= k, F.round(X.pass_at_k(F.col("n"), F.col("c"), k), 9)).alias(f"pass_at_{k}")
+    return by.select("user_id", "n", "c", at(1), at(3), at(8))
+
+
 _FENCED = "'<think>plan ' || source || '</think>```cpp' || chr(10) || 'int main() { return ' || (n_chars % 100) || '; }' || chr(10) || '```' || case when n_chars % 2 = 0 then '```' || chr(10) || 'std::cout << 1; int main() { return 1000000; }' || chr(10) || '```' else '' end"
 
 

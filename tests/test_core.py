@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import math
 import pickle
 import random
 import zlib
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import simhash as S
 from corpusloom.functions import text as X
 from corpusloom.operators import adapt, curate, judge, leakage, metrics, runs, tokens
+from corpusloom.plans import catalog
 from corpusloom.sources import jsonl
 from corpusloom.streaming import dedup
 
@@ -65,6 +67,18 @@ def test_pass_at_k(spark):
     assert row[0] == 0.25 and abs(row[1] - 0.5) < 1e-12 and row[2] == 1.0
 
 
+def test_pass_at_k_of_all_events(spark, tmp_path):
+    events = [(u, float(61 if i % 3 == 2 else 7)) for u in (1, 2, 3, 7, 8, 9, 20) for i in range(u)]
+    spark.createDataFrame([*events, (2, None)], "user_id int, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: r for r in catalog.queries()["pass_at_k_all"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2, 3, 7, 8, 9, 20]
+    for u, r in got.items():
+        n, c = u + (u == 2), u // 3
+        assert (r.n, r.c) == (n, c)
+        for k, found in ((1, r.pass_at_1), (3, r.pass_at_3), (8, r.pass_at_8)):
+            assert found is None if n < k else abs(found - (1 - math.comb(n - c, k) / math.comb(n, k))) < 1e-8
+
+
 def test_simhash_and_near_pairs(spark):
     text = "one two three four"
     features = ["one two three", "two three four"]
