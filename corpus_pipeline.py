@@ -1,7 +1,7 @@
 """The training-data pipeline over documents: each stage applies one operator and its decisions take effect.
 
-doc_id names a document: rows that share one are one document, and rows without one pass
-the near-duplicate and decontamination stages untouched.  Extra columns stay until the last stage.
+Stages decide and drop by a key of each row: doc_id where every row has one of its own, else a hash of id and text.  Rows
+that share id and text are one document; rows without an id count as documents too.  Extra columns stay until the last stage.
 """
 
 from __future__ import annotations
@@ -16,14 +16,23 @@ from corpusloom.llm import best_fit_packing, jaccard_join, quality_rules, secret
 from corpusloom.llm.tables import materialise
 
 CAPACITY = 2048
-#: Ids that may be broadcast: 16 bytes each in memory, so 16 MB at most; beyond that the join shuffles.
+#: Keys that may be broadcast: 16 bytes each in memory, so 16 MB at most; beyond that the join shuffles.
 BROADCAST_IDS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but those whose doc_id is in ids."""
-    ids = materialise(ids.where(F.col("doc_id").isNotNull()).distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a whole-numbered _key, null-safe; 64-bit hashes of two rows collide with a chance of about n^2 / 2^64."""
+    whole = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    shared = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if whole and shared.isEmpty():
+        return docs.withColumn("_key", F.col("doc_id").cast("long"))
+    return docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs but those whose _key is in keys."""
+    keys = materialise(keys.distinct())
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "_key", "left_anti").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,19 +42,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each component of 5-word shingle sets 80 per cent alike."""
-    found = jaccard_join.cluster(docs, k=5, percent=80)
-    kept = _without(docs, found.where("component_id != doc_id").select("doc_id"))
-    repeated = materialise(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    keyed = _keyed(docs)
+    found = materialise(jaccard_join.cluster(keyed, k=5, percent=80, id_col="_key").select("_key", "component_id").distinct())
+    linked = found.join(found.groupBy("component_id").count().where("count > 1"), "component_id", "left_semi")
+    ids = linked.join(keyed.select("_key", "doc_id").distinct(), "_key")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("first"))
+    kept = _without(keyed, linked.join(first, "component_id").where("_key != first").select("_key"))
+    repeated = materialise(keyed.groupBy("_key").count().where("count > 1").select("_key"))
     if repeated.isEmpty():
-        return kept
-    many = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return _without(kept, repeated).unionByName(many)
+        return kept.select(*docs.columns)
+    many = kept.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]).select(*keyed.columns)
+    return _without(kept, repeated).unionByName(many).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, winnowing.find_overlaps(docs, items).where("n_hit > 0").select("doc_id"))
+    items, keyed = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), _keyed(docs)
+    hit = winnowing.find_overlaps(keyed, items, id_col="_key").where("n_hit > 0").select("_key")
+    return _without(keyed, hit).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

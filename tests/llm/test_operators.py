@@ -390,6 +390,19 @@ def test_pipeline(spark, tmp_path):
     assert sorted(str(r.doc_id) for r in same.collect()) == ["1", "None"]
 
 
+def test_pipeline_of_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(4)
+    text = lambda: " ".join(f"word{rng.randrange(500)}" for _ in range(60))
+    item, a, b, c, d, e = " ".join(f"bench{k}" for k in range(15)), text(), text(), text(), text(), text()
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    # copies of 1 and without ids go; 2 names two texts, of which one holds the item, 3 two clean texts
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, c + " " + item), (2, d), (2, text() + " " + item), (3, c), (3, e)]
+    docs = corpus_pipeline.near_duplicates(spark, frame(spark, rows), str(tmp_path))
+    assert docs.count() == 7
+    left = corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == sorted([("1", a), ("None", b), ("2", d), ("3", c), ("3", e)])
+
+
 def test_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 11))
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
