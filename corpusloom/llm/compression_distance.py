@@ -10,7 +10,8 @@ documents: a logistic model of the greatest gains and of how many windows, and w
 them, reach each threshold gives the score.
 
 Bounds: training reads at most ``SAMPLE`` labelled documents of each class, those
-whose ids hash lowest, and none of over ``SAMPLE_CHARS`` characters; dictionaries and
+whose ids hash lowest, and none of over ``SAMPLE_CHARS`` characters; the ordinary dictionary is
+trained on ``ORDINARY_WORDS`` words, drawn by hash from the whole sampled texts; dictionaries (``ORDINARY_BYTES``, ``TOXIC_BYTES``) and
 coefficients are of fixed size.  Scoring goes through every window of every
 text, row by row, without a shuffle.
 
@@ -21,10 +22,10 @@ the share of toxic labels (0 without labels).  Labels of the same id count as to
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import json
 import math
-import random
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -44,7 +45,8 @@ GRAMS, REPEATS, LEAST_SEEN, LEAST_ODDS = (5, 6, 8, 10), (1, 2, 3, 4, 6), 4, 4.0
 GROWTH, LEAST_RUN = 0.8, 9
 #: Of the hashes that find near copies.
 SALTS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
-ORDINARY_BYTES, TOXIC_BYTES = 8192, 2048
+#: Words that the ordinary dictionary is trained on, and bytes of it and of either dictionary of marks.
+ORDINARY_WORDS, ORDINARY_BYTES, TOXIC_BYTES = 150_000, 8192, 2048
 THRESHOLDS = (3, 4, 5, 6, 7, 8)
 _EDGE = ".,!?;:\"'()[]"
 _PARAMETERS = dict(compression_level=5, window_log=14, min_match=5, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
@@ -174,17 +176,30 @@ def marks(toxic: list[str], ordinary: list[str]) -> dict[str, int]:
     return chosen
 
 
+def _drawn(texts: list[str], chosen: dict[str, int]) -> list[str]:
+    """ORDINARY_WORDS words of whole texts, those whose places hash lowest, in that order; none that holds a mark."""
+    free: dict[str, bool] = {}  # what a mark saves must not be saved already
+
+    def places() -> Iterator[tuple[int, int, int, str]]:
+        for i, t in enumerate(texts):
+            for j, w in enumerate(_words(t)):
+                if w not in free:
+                    free[w] = not any(g in w for g in chosen)
+                if free[w]:
+                    yield zlib.crc32(b"%d %d" % (i, j)), i, j, w
+
+    return [p[3] for p in heapq.nsmallest(ORDINARY_WORDS, places())]
+
+
 def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes, bytes]:
     """Contents of the dictionaries of ordinary text, of present marks and of repeated ones, from texts of either class."""
-    rng = random.Random(7)
     chosen = marks(toxic, ordinary)
     found: Counter = Counter()
     for t in toxic:
         found.update(_words(t))
-    ordinary_samples = [w for t in ordinary for w in _words(t)[:400] if not any(g in w for g in chosen)]  # what a mark saves must not be saved already
-    rng.shuffle(ordinary_samples)
+    ordinary_samples = _drawn(ordinary, chosen)
     present, repeated = ([g for g, r in chosen.items() if (r > 1) == kind] for kind in (False, True))
-    return _dictionary(ordinary_samples[:150_000], ORDINARY_BYTES), _wording(found, present, TOXIC_BYTES), _wording(found, repeated, TOXIC_BYTES)
+    return _dictionary(ordinary_samples, ORDINARY_BYTES), _wording(found, present, TOXIC_BYTES), _wording(found, repeated, TOXIC_BYTES)
 
 
 def _wording(found: Counter, chosen: list[str], size: int) -> bytes:

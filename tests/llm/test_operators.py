@@ -369,6 +369,12 @@ def test_toxicity_of_repeated_stems(spark):
     assert np.mean([got[i] >= 0.7 for i in held if i % 4]) < 0.05
 
 
+def test_late_words_reach_the_ordinary_dictionary():
+    rng = random.Random(6)
+    texts = [" ".join([*(prose(rng, 450).split()[:450]), *["latecomers"] * 60]) for _ in range(60)]
+    assert b"latecomers" in C.train_dictionaries(["vexatrix grombulous"] * 20, texts)[0]
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(2)
     clean = "the river and the stone of the green house in light "
