@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import materialise
+from .tables import Scratch
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -29,14 +29,18 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, component) of every id in links (a, b), component being its smallest id; ids are whole numbers."""
-    now = materialise(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, component) of every id in links (a, b), component being its smallest id; ids are whole numbers.
+
+    The result reads a table of scratch; those of earlier rounds are deleted.
+    """
+    now = scratch.table(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == seen or not state[0]:
             break
         seen = tuple(state)
-        now = materialise(_star(_star(now, True), False))
+        before, now = now, scratch.table(_star(_star(now, True), False))
+        scratch.drop(before)
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -1,226 +1,380 @@
 r"""Exact Jaccard join of word-shingle sets in metric space.
 
 Documents are points under the Jaccard distance d = 1 - |A n B| / |A u B|; two
-link when d <= r = 1 - t.  The join divides the space, recursively:
-
-1. Rings. |A| is the distance to the empty set under the symmetric difference,
-   so linked sizes differ by at most a factor t.  Sizes fall into geometric
-   rings; a document is replicated to each higher ring that a partner may lie
-   in (the triangle inequality's window around a ring's boundary).
-2. Voronoi cells of projections.  A hash deals the shingles of a ring into m
-   classes.  Projecting onto a class never lengthens a symmetric difference,
-   the classes' differences add up to the whole one, and a linked pair's is at
-   most D, known from the ring; so with more than D classes that hold shingles,
-   in at least one class both documents lie on the very same point.  Each
-   point is the pivot of its cell; a document enters a cell for each class.
-   Documents with too few such classes (mostly the smallest sets) also enter a
-   cell for each shingle of their prefix, which finds all pairs among them.
-3. Regions. Documents that share a cell, directly or in a chain, make a region;
-   regions join by themselves.  A region's members in order of size are cut into
-   blocks of bounded size, and a block meets those whose sizes the window admits.
-4. Recursion in a block. Each member in turn is the pivot of those that are
-   left, with a finer projection: the number of classes in which two sets differ is no more than
-   their symmetric difference, so only members for which it is small enough, and
-   that are not connected to the pivot yet, are compared with it exactly.
-   Blocks give a spanning forest of their links, not all pairs.
-
-No pair closer than r is lost, and no cap is set on cells, regions or
+link when d <= r = 1 - t.
+
+1. Neighbourhoods. Nearly all distances of a corpus are 1, and pivots cannot divide
+   a space whose points are all equally far apart: the window below would put every
+   document into every region.  So the first cut is none by pivots: linked sets
+   share one shingle at least of their prefixes (the first |A| - ceil(t |A|) + 1
+   shingles in an order common to all).  The order puts rare shingles first, by a count
+   sketch of fixed size over all documents, so passages that many documents share hardly ever
+   bring two together.  Inside a neighbourhood, class profiles tell which members can be linked
+   at all (the number of hash classes in which two sets differ is no more than their symmetric
+   difference; sizes are held against each other before, by rings of sizes); in those of over CELL members all count as such.  Documents that can be, directly
+   or in a chain, make a region; linked documents are always in one.
+2. Voronoi regions. A region of more than BLOCK shingles is divided by pivots, members of
+   its own: each member's distance to every pivot is computed, a member belongs to the region of its
+   nearest pivot q and is replicated to each other pivot p with d(x, p) <= d(x, q) + 2r
+   (triangle inequality: nobody within r of x's home region is missed).  Members within r of a
+   pivot are linked to it there and then, so of two of them nothing more is asked; they go on
+   only where a member beyond r has come so close that d(x, p) >= d(y, p) - r.
+3. Recursion. Regions that are still too large are divided again, by pivots of their own.  One
+   that its pivots have left nearly whole is cut into blocks that meet pairwise, which is exact as well.
+4. In a task, a region or two blocks join in the same way (pivots, windows, recursion), down to a few
+   sets, which are compared exactly behind a check of finer class profiles.
+   Links make a spanning forest of the region, not all pairs.
+
+No pair closer than r is lost, and no cap is set on neighbourhoods, regions or
 candidates.  Equal sets are one point from the start, so a group of copies costs
-its size; of near copies, a forest of links leaves the task that found them.  Pivots over
-the undivided space (whole documents) would not divide it: nearly all distances there are 1.
+its size; a group of near copies costs about its size times its number of pivots.
 
 Sets are kept as 64-bit shingle hashes; two texts are one point if their sets'
 128-bit sums agree.
 
 Defined results: a null text, or one without words, has an empty set and links
 with nothing; with fewer than k words, the whole sequence is the one shingle.
-Repeated rows get repeated results; rows of one id are one document, and a row
-without an id links with nothing.  Other columns are not read.
+Repeated rows get repeated results.  Ids are whole numbers (others raise) and one
+document's own: rows that share an id but not a text may be joined.  A row
+without an id links with nothing and has no component.  Other columns are not read.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
-from .tables import materialise
+from .tables import Scratch
 from .wordhash import SPACED, Words, grams, mix, of_texts, signed
 
-RING = 1.25
-BLOCK = 1 << 19
-FILTER_BITS = 1 << 24
+#: Shingles (and OVERHEAD for each set) that a task joins at once; pivots of a division; sets that are compared without dividing on.
+BLOCK, OVERHEAD, PIVOTS, LEAF = 1 << 19, 64, 8, 48
+#: Members of a neighbourhood that one task checks by profiles, and of one whose pairs are checked all at once.
+CELL, FEW = 4096, 24
+#: A division that leaves a region this share of its parent has not divided it.
+SHRINK = 0.8
+#: Rows (region, blocks) of 16 bytes that may be broadcast; beyond that the join shuffles.
+BROADCAST_ROWS = 1_000_000
+#: The counters of the sketch, in slices that are added up by themselves.
+COUNTERS, SLICES, FAN_IN = 1 << 20, 64, 64
+#: Bits of the bitmap of ids whose sets are read, two set for each id: 16 an id, between these bounds (32 MB).
+LEAST_BITS, MOST_BITS, BITS_AN_ID = 1 << 20, 1 << 28, 16
 _SEEDS = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
+_EPS = 1e-9
 
 
-@dataclass(frozen=True)
-class Ring:
-    """Sizes low to high; classes, the most that a linked pair can differ by, and the least size of a class that counts."""
+class Sets:
+    """Distinct shingles of consecutive texts: text t has members at[t] to at[t + 1], ascending."""
 
-    low: int
-    high: int
-    classes: int
-    differ: int
-    least: int
+    def __init__(self, words: Words, k: int):
+        n_words = np.diff(words.at)
+        g = grams(words.hashes, k)
+        text_of = np.repeat(np.arange(len(n_words)), n_words)
+        whole = np.flatnonzero(np.repeat(words.at[1:], n_words)[: len(g)] >= np.arange(len(g)) + k)
+        texts, members = text_of[whole], g[whole]
+        short = np.flatnonzero((n_words > 0) & (n_words < k))
+        if len(short):
+            own = [grams(words.hashes[words.at[t] : words.at[t + 1]], int(n_words[t])) for t in short]
+            texts, members = np.append(texts, short), np.concatenate([members, *own])
+        order = np.lexsort((members, texts))
+        texts, members = texts[order], members[order]
+        if len(members):
+            new = np.append(True, (np.diff(texts) != 0) | (np.diff(members) != 0))
+            texts, members = texts[new], members[new]
+        self.first, self.members = words.first, members
+        self.at = np.searchsorted(texts, np.arange(len(n_words) + 1))
+
+    def digest(self, seed: np.uint64) -> np.ndarray:
+        """A sum over each text's set."""
+        total = np.append(np.uint64(0), np.cumsum(mix(self.members ^ seed)))
+        return total[self.at[1:]] - total[self.at[:-1]]
+
+    def prefixes(self, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's prefix: offsets and shingles, the rarest ones by counts, ties by hash."""
+        size = np.diff(self.at)
+        text = np.repeat(np.arange(len(size)), size)
+        seen = np.minimum(counts[_counter(self.members)], (1 << 24) - 1).astype(np.uint64)
+        order = np.lexsort((seen << np.uint64(40) | mix(self.members ^ _SEEDS[1]) >> np.uint64(24), text))
+        length = np.where(size > 0, size - -(-size * percent // 100) + 1, 0)
+        place = np.arange(len(text)) - np.repeat(self.at[:-1], size)
+        return np.append(0, np.cumsum(length)), self.members[order[place < np.repeat(length, size)]]
+
+
+def profiles(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's profile: offsets and bytes, a sum over each of 2 ** b hash classes, twice as many as a linked pair may differ in.
+
+    A profile of half the classes is the sum of neighbours, so two of different lengths can be compared.
+    """
+    size = np.diff(sets.at)
+    differ = np.maximum(8, 2 * size * (100 - percent) // (100 + percent))
+    classes = np.where(size > 0, 1 << np.ceil(np.log2(2 * differ)).astype(np.int64), 0)
+    at = np.append(0, np.cumsum(classes))
+    own = (mix(sets.members ^ _SEEDS[2]) >> np.uint64(32)) * np.repeat(classes, size).astype(np.uint64) >> np.uint64(32)
+    out = np.zeros(at[-1], np.uint8)
+    np.add.at(out, np.repeat(at[:-1], size) + own.astype(np.int64), (mix(sets.members ^ _SEEDS[1]) & np.uint64(255)).astype(np.uint8))
+    return at, out
+
+
+class Profiles:
+    """Profiles of some sets, to be compared."""
+
+    def __init__(self, size: np.ndarray, data: list[bytes], percent: int):
+        self.size, self.percent = size, percent
+        length = np.array([len(x) for x in data])
+        self.level = np.log2(np.maximum(length, 1)).astype(np.int64)
+        self.row = np.zeros(len(data), np.int64)
+        self.tables: dict[tuple[int, int], np.ndarray] = {}  # by level, and the level folded down to
+        for level in np.unique(self.level):
+            own = np.flatnonzero(self.level == level)
+            self.row[own] = np.arange(len(own))
+            self.tables[int(level), int(level)] = np.frombuffer(b"".join(data[i] for i in own), np.uint8).reshape(len(own), 1 << level)
+
+    def _folded(self, level: int, to: int) -> np.ndarray:
+        if (level, to) not in self.tables:
+            finer = self._folded(level, to + 1)
+            self.tables[level, to] = finer[:, ::2] + finer[:, 1::2]
+        return self.tables[level, to]
+
+    def may_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """True for each pair that sizes and profiles don't keep apart."""
+        t, n, m = self.percent, self.size[a], self.size[b]
+        out = (n * 100 >= m * t) & (m * 100 >= n * t)
+        most = (n + m) * (100 - t) // (100 + t)
+        kind = self.level[a] * 64 + self.level[b]
+        for x in np.unique(kind[out]):
+            i, j = divmod(int(x), 64)
+            left, right = self._folded(i, min(i, j)), self._folded(j, min(i, j))
+            step = max(1, (1 << 24) >> min(i, j))
+            pairs = np.flatnonzero(out & (kind == x))
+            for part in (pairs[k : k + step] for k in range(0, len(pairs), step)):
+                out[part] = (left[self.row[a[part]]] != right[self.row[b[part]]]).sum(1) <= most[part]
+        return out
 
 
-def ring_of(number: int, percent: int) -> Ring:
-    """The plan of a ring, for a similarity of percent or more."""
-    low, high = math.ceil(RING**number), math.ceil(RING ** (number + 1)) - 1
-    differ = 2 * high * (100 - percent) // (100 + percent)
-    smallest = max(1, math.ceil(low * percent / 100))  # members of lower rings come down to this
-    for least in (2, 1):
-        m = differ + 1
-        while m <= 2 * differ + 8:
-            x = smallest / m
-            short = math.exp(-x) * (1 + x * (least == 2))
-            if m * (1 - short) - 3 * math.sqrt(m * short) > differ:
-                return Ring(low, high, m, differ, least)
-            m += max(1, m // 64)
-    return Ring(low, high, differ + 1, differ, 1)
+def _neighbours(cells: np.ndarray, profiles_: Profiles) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that may link, as forests inside runs of equal cells."""
+    edges = np.append(np.flatnonzero(np.append(True, cells[1:] != cells[:-1])), len(cells))
+    count, first = np.diff(edges), edges[:-1]
+    few = count <= FEW
+    out = []
+    for step in range(1, FEW):  # all pairs that are so far apart, over all small neighbourhoods
+        a = np.concatenate([first[few & (count > step)] + k for k in range(FEW - step)] or [first[:0]])
+        a = a[a + step < len(cells)]
+        a = a[cells[a] == cells[a + step]]
+        if len(a):
+            good = profiles_.may_link(a, a + step)
+            out.append((a[good], a[good] + step))
+    for k in np.flatnonzero(~few):
+        left = np.arange(first[k], edges[k + 1])
+        group = left[:0]
+        while len(left):  # a forest: whoever is reached leaves, and reaches on
+            if not len(group):
+                group, left = left[:1], left[1:]
+            i, group = group[:1], group[1:]
+            good = profiles_.may_link(np.repeat(i, len(left)), left)
+            out.append((np.repeat(i, good.sum()), left[good]))
+            group, left = np.append(group, left[good]), left[~good]
+    if not out:
+        return first[:0], first[:0]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _shared(entered: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of entered (cell, id, and others) whose cell has several ids."""
+    dealt = entered.repartition("cell")  # one exchange for the counts and for the rows
+    several = dealt.groupBy("cell").agg(F.min("id").alias("b"), F.max("id").alias("most")).where("b != most")
+    return scratch.table(dealt.join(several.select("cell"), "cell", "left_semi"))
+
+
+def candidates(points: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) that connect whatever may be linked among points (id, n, tokens, profile)."""
+    entered = _shared(points.select(F.explode("tokens").alias("cell"), "id", F.col("n").cast("int").alias("n")), scratch)
+    # sizes of a linked pair lie in one ring or in neighbouring ones: rings a little wider than the sizes may differ by
+    ring = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.01 * 100 / percent)))).cast("int")
+    rings = entered.select(F.explode(F.array(F.xxhash64("cell", ring), F.xxhash64("cell", ring + 1))).alias("cell"), "id")
+    every = _shared(rings, scratch)
+    # neighbourhoods of the same members are one
+    members = F.xxhash64("id")
+    of = [F.count(F.lit(1)).alias("count"), F.bit_xor(members).alias("h"), F.sum(members.bitwiseAND(0xFFFFFFFF)).alias("g"), F.min("id").alias("b")]
+    cells = every.groupBy("cell").agg(*of).groupBy("count", "h", "g", "b").agg(F.min("cell").alias("cell"))
+    rows = scratch.table(every.join(cells.select("cell", "count", "b"), "cell"))
+    scratch.drop(entered)
+    scratch.drop(every)
+    stars = rows.where((F.col("count") > CELL) & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.Table] = []
+        n = 0
 
-def ring_number(size: np.ndarray) -> np.ndarray:
-    """The ring of each size, from 1 up."""
-    edges = np.array([math.ceil(RING**k) for k in range(100)])
-    return np.searchsorted(edges, size, "right") - 1
+        def checked(table: pa.Table) -> pa.RecordBatch:
+            ids = table.column("id").to_numpy()
+            a, b = _neighbours(table.column("cell").to_numpy(), Profiles(table.column("n").to_numpy(), table.column("profile").to_pylist(), percent))
+            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
+        for batch in batches:
+            kept.append(pa.Table.from_batches([batch]))
+            n += batch.num_rows
+            if n < 2 * CELL:
+                continue
+            table = pa.concat_tables(kept)
+            cells = table.column("cell").to_numpy()
+            last = int(np.searchsorted(cells, cells[-1]))  # the last cell may go on
+            if last:
+                yield checked(table.slice(0, last))
+            kept, n = [table.slice(last)], len(table) - last
+        if n:
+            yield checked(pa.concat_tables(kept))
 
-@dataclass
-class Sets:
-    """Distinct shingles of consecutive texts: text t has members at[t] to at[t + 1], ascending."""
+    small = rows.where(F.col("count") <= CELL).select("cell", "id").distinct().join(points.select("id", "n", "profile"), "id")
+    near = small.repartition("cell").sortWithinPartitions("cell", "id").select("cell", "id", "n", "profile").mapInArrow(run, "a long, b long")
+    return scratch.table(stars.unionByName(near).where("a != b").distinct())
 
-    first: int
-    at: np.ndarray
-    members: np.ndarray
-
-
-def sets_of(words: Words, k: int) -> Sets:
-    n_words = np.diff(words.at)
-    g = grams(words.hashes, k)
-    text_of = np.repeat(np.arange(len(n_words)), n_words)
-    whole = np.flatnonzero(np.repeat(words.at[1:], n_words)[: len(g)] >= np.arange(len(g)) + k)
-    texts, members = text_of[whole], g[whole]
-    for t in np.flatnonzero((n_words > 0) & (n_words < k)):
-        texts = np.append(texts, t)
-        members = np.append(members, grams(words.hashes[words.at[t] : words.at[t + 1]], int(n_words[t])))
-    order = np.lexsort((members, texts))
-    texts, members = texts[order], members[order]
-    if len(members):
-        new = np.append(True, (np.diff(texts) != 0) | (np.diff(members) != 0))
-        texts, members = texts[new], members[new]
-    return Sets(words.first, np.searchsorted(texts, np.arange(len(n_words) + 1)), members)
-
-
-def cells(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, cell) for every cell that a text enters."""
-    size = np.diff(sets.at)
-    home = ring_number(np.maximum(size, 1))
-    spread = mix(sets.members ^ _SEEDS[0])
-    sums = mix(sets.members ^ _SEEDS[1])
-    out_text, out_cell = [], []
-    step = 0
-    while True:
-        ring = home + step
-        plans = {int(r): ring_of(int(r), percent) for r in np.unique(ring)}
-        low = np.array([plans[int(r)].low for r in ring])
-        enters = (size > 0) & (low * percent <= size * 100)
-        if not enters.any():
-            break
-        m = np.where(enters, [plans[int(r)].classes for r in ring], 0)
-        base = np.append(0, np.cumsum(m))
-        member_m = np.repeat(m, size)
-        chosen = member_m > 0
-        own = ((spread >> np.uint64(32)) * member_m.astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        slot = (np.repeat(base[:-1], size) + own)[chosen]
-        total = np.zeros(base[-1], np.uint64)
-        np.add.at(total, slot, sums[chosen])
-        held = np.bincount(slot, minlength=base[-1])
-        text = np.repeat(np.arange(len(m)), m)
-        good = held >= np.array([plans[int(r)].least for r in ring])[text]
-        label = (ring[text].astype(np.uint64) << np.uint64(40)) + (np.arange(base[-1]) - base[:-1][text]).astype(np.uint64)
-        out_text.append(text[good])
-        out_cell.append(mix(total[good] + mix(label[good] ^ _SEEDS[2])))
-        n_good = np.bincount(text[good], minlength=len(m))
-        for t in np.flatnonzero(enters & (n_good <= [plans[int(r)].differ for r in ring])):
-            own_set = np.sort(spread[sets.at[t] : sets.at[t + 1]])
-            prefix = own_set[: len(own_set) - -(-len(own_set) * percent // 100) + 1]
-            out_text.append(np.full(len(prefix), t))
-            out_cell.append(mix(prefix + mix(np.array([ring[t]], np.uint64) ^ _SEEDS[1])))
-        step += 1
-    if not out_text:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    text, cell = np.concatenate(out_text), np.concatenate(out_cell)
-    order = np.argsort(text, kind="stable")
-    return text[order], cell[order]
-
-
-def _digest(sets: Sets, seed: np.uint64) -> np.ndarray:
-    total = np.append(np.uint64(0), np.cumsum(mix(sets.members ^ seed)))
-    return total[sets.at[1:]] - total[sets.at[:-1]]
-
-
-def _points(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """id, n (set size), d1 and d2 (the set's digest) and cells of every row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words in of_texts(batch.column(1), SPACED):
-                sets = sets_of(words, k)
-                n = len(sets.at) - 1
-                text, cell = cells(sets, percent)
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32)), pa.array(signed(cell)))
-                cols = [batch.column(0).slice(sets.first, n), pa.array(np.diff(sets.at)), pa.array(signed(_digest(sets, _SEEDS[0]))), pa.array(signed(_digest(sets, _SEEDS[1]))), lists]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "n", "d1", "d2", "cells"])
+def _counter(members: np.ndarray) -> np.ndarray:
+    return (mix(members ^ _SEEDS[0]) >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, n long, d1 long, d2 long, cells array<long>")
 
+def _read(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """id, n (set size), d1 and d2 (the set's digest) of every row; and for each task SLICES rows (slice, counts) of a count sketch.
 
-def _filter_of(ids: DataFrame) -> bytes:
-    """A bitmap of FILTER_BITS bits over hashed ids, whatever their number."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit")
-    rows = ids.select(bit).groupBy(F.expr("bit div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("v"))
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    The sketch counts the hashed shingles of all texts, each text's set once, in COUNTERS counters.
+    """
+    width = COUNTERS // SLICES
+    names = ["id", "n", "d1", "d2", "slice", "counts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, some, n = np.zeros(COUNTERS, np.uint32), [np.zeros(0, np.int64)], 0
+        for batch in batches:
+            for words in of_texts(batch.column(1), SPACED):
+                sets = Sets(words, k)
+                size = np.diff(sets.at)
+                digests = [pa.array(signed(sets.digest(s))) for s in _SEEDS[:2]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(sets.first, len(size)), pa.array(size), *digests, pa.nulls(len(size), pa.int64()), pa.nulls(len(size), pa.binary())], names)
+                some.append(_counter(sets.members))
+                n += len(some[-1])
+                if n > COUNTERS:
+                    total += np.bincount(np.concatenate(some), minlength=COUNTERS).astype(np.uint32)
+                    some, n = [], 0
+        total += np.bincount(np.concatenate([np.zeros(0, np.int64), *some]), minlength=COUNTERS).astype(np.uint32)
+        if total.any():
+            slices = [pa.array(np.arange(SLICES)), pa.array([x.tobytes() for x in total.reshape(SLICES, width)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64())] * 4 + slices, names)
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, n long, d1 long, d2 long, slice long, counts binary")
+
+
+def rarity(read: DataFrame) -> np.ndarray:
+    """The sketch of all tasks: how common a shingle is, by its counter."""
+    width = COUNTERS // SLICES
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.zeros(width, np.uint64)
+        for x in rows.column("counts"):
+            total += np.frombuffer(x.as_buffer(), np.uint32)
+        most = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
+        return pa.table({"slice": rows.column("slice").slice(0, 1), "counts": pa.array([most.tobytes()], pa.binary())})
+
+    schema = "slice long, counts binary"
+    parts = read.where("slice is not null").select("slice", "counts").withColumn("part", F.spark_partition_id() % FAN_IN)
+    some = parts.groupBy("slice", "part").applyInArrow(add, schema)
+    out = np.zeros((SLICES, width), np.uint32)
+    for row in some.groupBy("slice").applyInArrow(add, schema).collect():  # COUNTERS numbers
+        out[row["slice"]] = np.frombuffer(row.counts, np.uint32)
+    return out.reshape(-1)
+
+
+def _bits(key: Column, bits: int) -> Column:
+    return F.array(*[F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(bits)) for seed in (0, 1)])
+
+
+def _filter_of(ids: DataFrame) -> tuple[bytes, bool]:
+    """A bitmap over hashed ids, and whether it has BITS_AN_ID for each; past the upper bound it lets more through."""
+    bits = LEAST_BITS
+    n = BITS_AN_ID * ids.count()
+    while bits < min(n, MOST_BITS):
+        bits *= 2
+    bit = ids.select(F.explode(_bits(F.col("id"), bits)).alias("bit"))
+    rows = bit.groupBy(F.expr("bit div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 64)))").alias("v"))
+    out = np.zeros(bits // 64, np.int64)
     for row in rows.toLocalIterator():
         out[row.w] = row.v
-    return out.tobytes()
+    return out.tobytes(), bits >= n
 
 
-def _members(docs: DataFrame, id_col: str, text_col: str, k: int, ids: DataFrame) -> DataFrame:
-    """The sets of these ids, read from the texts once more: (id, members)."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(ids))
+def _sets_of(docs: DataFrame, id_col: str, text_col: str, k: int, filter_: bytes, make, schema: str) -> DataFrame:
+    """make(sets) of the texts whose id the filter lets through: a column id and those of schema."""
+    shared = docs.sparkSession.sparkContext.broadcast(filter_)
+    names = ["id", *[c.split()[0] for c in schema.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
+        bits = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            bit = batch.column(2).to_numpy(zero_copy_only=False)
-            rows = pa.array(np.flatnonzero(bits[bit]))
+            bit = batch.column(2).flatten().to_numpy()
+            found = (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).reshape(-1, 2).all(1)
+            rows = pa.array(np.flatnonzero(found))
             if not len(rows):
                 continue
             batch = batch.take(rows)
             for words in of_texts(batch.column(1), SPACED):
-                sets = sets_of(words, k)
-                lists = pa.ListArray.from_arrays(pa.array(sets.at.astype(np.int32)), pa.array(signed(sets.members)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(sets.first, len(sets.at) - 1), lists], ["id", "members"])
+                sets = Sets(words, k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(sets.first, len(sets.at) - 1), *make(sets)], names)
 
     key = F.col(id_col).cast("long")
-    rows = docs.select(key.alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).alias("bit"))
-    found = rows.mapInArrow(run, "id long, members array<long>")
-    return found.join(ids, "id", "left_semi")
+    rows = docs.select(key.alias("id"), F.col(text_col).alias("text"), _bits(key, 8 * len(filter_)).alias("bits"))
+    return rows.where("id is not null").mapInArrow(run, f"id long, {schema}")
+
+
+def _points(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, counts: np.ndarray, ids: DataFrame) -> DataFrame:
+    """id, n, tokens (the set's prefix) and profile of these ids; and of others that the filter lets through, which does no harm: they are points as well."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    data, whole = _filter_of(ids)
+
+    def make(sets: Sets) -> list[pa.Array]:
+        at, tokens = sets.prefixes(shared.value, percent)
+        lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(signed(tokens)))
+        edges, profile = profiles(sets, percent)
+        return [pa.array(np.diff(sets.at)), lists, pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(profile)])]
+
+    found = _sets_of(docs, id_col, text_col, k, data, make, "n long, tokens array<long>, profile binary").where("n > 0")
+    return found if whole else found.join(ids, "id", "left_semi")
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str, k: int, regions: DataFrame) -> DataFrame:
+    """The sets of the ids of regions (id, region), read from the texts once more: (id, members, region)."""
+
+    def make(sets: Sets) -> list[pa.Array]:
+        return [pa.ListArray.from_arrays(pa.array(sets.at.astype(np.int32)), pa.array(signed(sets.members)))]
+
+    found = _sets_of(docs, id_col, text_col, k, _filter_of(regions)[0], make, "members array<long>")
+    return found.join(regions, "id").where("size(members) > 0")
+
+
+def distances(sets: list[np.ndarray], pivots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Intersections and unions of every set with every pivot."""
+    size = np.array([len(x) for x in sets])
+    at = np.append(0, np.cumsum(size))
+    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    inter = np.zeros((len(sets), len(pivots)), np.int64)
+    for j, p in enumerate(pivots):
+        found = np.append(0, np.cumsum(p[np.minimum(np.searchsorted(p, flat), len(p) - 1)] == flat))
+        inter[:, j] = found[at[1:]] - found[at[:-1]]
+    return inter, size[:, None] + np.array([len(p) for p in pivots]) - inter
 
 
 class Region:
-    """Sets of a block, or of two blocks that meet, and the links found among them."""
+    """Sets that join in one task: links of home sets with home and replicated ones, as a forest over the labels given."""
 
-    def __init__(self, sets: list[np.ndarray], sides: np.ndarray, percent: int):
-        self.sets, self.sides, self.percent = sets, sides, percent
+    def __init__(self, sets: list[np.ndarray], label: np.ndarray, percent: int):
+        self.sets, self.percent = sets, percent
+        self.label = np.unique(label, return_inverse=True)[1] if len(sets) else np.zeros(0, np.int64)
         self.size = np.array([len(x) for x in sets])
+        self.links: list[tuple[int, int]] = []
         widest = int(self.size.max(initial=1))
         classes = min(2048, max(16, 8 * widest * (100 - percent) // (100 + percent)))
         self.profile = np.zeros((len(sets), classes), np.uint64)
@@ -229,79 +383,184 @@ class Region:
             np.add.at(row, c.astype(np.int64), mix(x ^ _SEEDS[1]))
         self.profile = mix(self.profile).astype(np.uint32)
 
-    def linked(self, i: int, j: int) -> bool:
-        inter = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
-        return inter * 100 >= (self.size[i] + self.size[j] - inter) * self.percent
-
-    def forest(self) -> list[tuple[int, int]]:
-        """Links that connect whatever the links of this region connect; the sets are in order of size."""
-        label, out = np.arange(len(self.sets)), []
-        two = self.sides.min() != self.sides.max()
-        for i in range(len(self.sets) - 1):
-            end = np.searchsorted(self.size, self.size[i] * 100 // self.percent, "right")
-            rest = np.arange(i + 1, end)
-            rest = rest[(label[rest] != label[i]) & ((self.sides[rest] != self.sides[i]) | (not two))]
-            if not len(rest):
+    def join(self, home: np.ndarray, other: np.ndarray) -> None:
+        """Links the sets of home with each other and with those of other; either are places, in no order."""
+        r = 1 - self.percent / 100
+        todo = [(home, other)]
+        while todo:
+            home, other = todo.pop()
+            both = np.append(home, other)
+            if not len(home) or len(np.unique(self.label[both])) < 2:
                 continue
-            most = (self.size[rest] + self.size[i]) * (100 - self.percent) // (100 + self.percent)
+            if len(both) <= LEAF:
+                self._compare(home, other)
+                continue
+            pivots = home[np.linspace(0, len(home) - 1, PIVOTS).astype(int)] if len(home) > PIVOTS else home
+            inter, union = distances([self.sets[i] for i in both], [self.sets[i] for i in pivots])
+            for j, p in enumerate(pivots):
+                for i in both[inter[:, j] * 100 >= union[:, j] * self.percent]:
+                    self._link(int(p), int(i))
+            d = 1 - inter / union
+            nearest = d.argmin(1)
+            enters = d <= d.min(1)[:, None] + 2 * r + _EPS
+            is_home = np.arange(len(both)) < len(home)
+            parts = [(both[is_home & (nearest == j)], both[enters[:, j] & ~(is_home & (nearest == j))]) for j in range(len(pivots))]
+            if max(len(a) + len(b) for a, b in parts) > SHRINK * len(both):
+                self._compare(home, other)
+            else:
+                todo += parts
+
+    def _link(self, i: int, j: int) -> None:
+        if self.label[i] != self.label[j]:
+            self.label[self.label == self.label[j]] = self.label[i]
+            self.links.append((i, j))
+
+    def _compare(self, home: np.ndarray, other: np.ndarray) -> None:
+        t = self.percent
+        for k, i in enumerate(home):
+            rest = np.append(home[k + 1 :], other)
+            rest = rest[self.label[rest] != self.label[i]]
+            n, m = self.size[i], self.size[rest]
+            rest = rest[(n * 100 >= m * t) & (m * 100 >= n * t)]
+            most = (self.size[rest] + n) * (100 - t) // (100 + t)
             for j in rest[(self.profile[rest] != self.profile[i]).sum(1) <= most]:
-                if label[j] != label[i] and self.linked(i, j):
-                    label[label == label[j]] = label[i]
-                    out.append((i, int(j)))
-        return out
-
-
-def _blocks(sizes: DataFrame, percent: int) -> DataFrame:
-    """(region, i, j, side, id): members (region, id, n) of each two blocks that meet, i = j included.
-
-    Blocks hold about BLOCK elements, in order of size; the window leaves out blocks too far apart in size.
-    """
-    order = Window.partitionBy("region").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, 0)
-    cut = sizes.withColumn("before", F.sum("n").over(order) - F.col("n")).withColumn("block", F.expr(f"before div {BLOCK}"))
-    spans = cut.groupBy("region", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    left = spans.select("region", F.col("block").alias("i"), "hi")
-    right = spans.select("region", F.col("block").alias("j"), "lo")
-    meet = left.join(right, "region").where((F.col("i") <= F.col("j")) & (F.col("hi") * 100 >= F.col("lo") * percent))
-    sides = meet.select("region", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("block"))
-    return cut.select("region", "block", "id").join(sides, ["region", "block"]).select("region", "i", "j", F.col("block").alias("side"), "id")
+                if self.label[j] != self.label[i]:
+                    inter = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
+                    if inter * 100 >= (n + self.size[j] - inter) * t:
+                        self._link(int(i), int(j))
+
+
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    lists = column.combine_chunks()
+    flat, at = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+_WEIGHT = f"cast(size(members) + {OVERHEAD} as long)"
+
+
+def _narrow(rows: DataFrame) -> DataFrame:
+    """rows of a few numbers each, to be broadcast where they are few enough."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _without(parts: DataFrame, regions: DataFrame) -> DataFrame:
+    return parts.join(_narrow(regions.select("region")), "region", "left_anti")
+
+
+def _cut(parts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """parts with blocks (1 where their region is not in blocks) and block, by hash of the id."""
+    cut = parts.join(_narrow(blocks), "region", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    return cut.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+
+
+def _meet(parts: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) in regions: parts are (region, id, label, home, members), blocks (region, blocks) the regions to be cut into more blocks than one."""
+
+    def join(rows: pa.Table) -> pa.Table:
+        ids, label, home, first = (rows.column(c).to_numpy() for c in ("id", "label", "home", "first"))
+        region = Region(_arrays(rows.column("members")), label, percent)
+        own = [np.flatnonzero(home.astype(bool) & side) for side in (first, ~first)]
+        away = [np.flatnonzero(~home.astype(bool) & side) for side in (first, ~first)]
+        if first.all():
+            region.join(own[0], away[0])
+        else:  # two blocks: only across, though links inside do no harm
+            region.join(np.append(*own), np.append(*away))
+        a, b = np.array(region.links, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+
+    placed = _cut(parts, blocks)
+    # block b meets each block: as the first side of (b, j), j >= b, and the second of (i, b), i < b
+    sides = placed.withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    sides = sides.select("region", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") <= F.col("with")).alias("first"), "id", "label", "home", "members")
+    return sides.groupBy("region", "i", "j").applyInArrow(join, "a long, b long")
+
+
+def _divide(parts: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """Each member's places: (region, pivot, id, home, linked, d), by the Voronoi regions of pivots drawn by hash from the region's home members."""
+    r = 1 - percent / 100
+    homes = parts.where("home")
+    lowest = [F.min(F.struct(F.xxhash64("id", F.lit(j)), "id"))["id"].alias(f"p{j}") for j in range(PIVOTS)]
+    drawn = homes.groupBy("region").agg(*lowest)
+    drawn = drawn.select("region", F.explode(F.array_distinct(F.array(*[f"p{j}" for j in range(PIVOTS)]))).alias("id"))
+    pivots = homes.select("region", "id", "members").join(_narrow(drawn), ["region", "id"]).join(blocks, "region")
+    pivots = pivots.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    pivots = pivots.select(F.col("region").alias("of"), F.col("block").alias("part"), F.col("id").alias("pivot"), F.col("members").alias("shingles"))
+    placed = _cut(parts, blocks).select("region", "block", "id", "home", "members")
+
+    def place(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ("region", "pivot", "id", "home", "linked", "d")
+        if not left.num_rows or not right.num_rows:
+            return pa.table({c: pa.array([], kind) for c, kind in zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.float64()), strict=True)})
+        order = np.argsort(right.column("pivot").to_numpy(), kind="stable")
+        own = _arrays(right.column("shingles"))
+        inter, union = distances(_arrays(left.column("members")), [own[j] for j in order])
+        d = 1 - inter / union
+        i, j = np.nonzero(d <= d.min(1)[:, None] + 2 * r + _EPS)
+        home = left.column("home").to_numpy()[i] & (j == d.argmin(1)[i])
+        linked = inter[i, j] * 100 >= union[i, j] * percent
+        columns = (left.column("region").to_numpy()[i], right.column("pivot").to_numpy()[order][j], left.column("id").to_numpy()[i], home, linked, d[i, j])
+        return pa.table({c: pa.array(x) for c, x in zip(names, columns, strict=True)})
+
+    cogrouped = placed.groupBy("region", "block").cogroup(pivots.groupBy("of", "part"))
+    return cogrouped.applyInArrow(place, "region long, pivot long, id long, home boolean, linked boolean, d double")
+
+
+def links_in(parts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that connect whatever the similarity connects inside the regions of parts (region, id, members)."""
+    r = 1 - percent / 100
+    sets = parts.select("id", "members")
+    parts = parts.select("region", "id", F.col("id").alias("label"), F.lit(True).alias("home"), "members")
+    found, parent = [], None
+    while True:
+        weight = parts.groupBy("region").agg(F.sum(F.expr(f"cast(size(members) + {OVERHEAD} as long)")).alias("weight"))
+        over = scratch.table(weight.where(f"weight > {BLOCK}").withColumn("blocks", F.expr(f"(weight + {BLOCK} - 1) div {BLOCK}")))
+        # regions nearly as heavy as the one they come from are cut into blocks that meet; the others are divided
+        stuck = over.limit(0) if parent is None else scratch.table(over.join(parent, "region").where(F.col("weight") > F.col("parent") * SHRINK).select(over.columns))
+        large = over if parent is None else scratch.table(over.join(stuck.select("region"), "region", "left_anti"))
+        if large.isEmpty():
+            found.append(scratch.table(_meet(parts, stuck.select("region", "blocks"), percent)))
+            break
+        found.append(scratch.table(_meet(_without(parts, large), stuck.select("region", "blocks"), percent)))
+        own = scratch.table(parts.join(_narrow(large.select("region")), "region", "left_semi"))
+        placed = scratch.table(_divide(own, large.select("region", "blocks"), percent))
+        found.append(placed.where("linked and id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+        # members linked to a pivot go on only as partners of those that are not
+        reach = placed.where("not linked").groupBy("region", "pivot").agg(F.min("d").alias("reach"))
+        on = placed.join(_narrow(reach), ["region", "pivot"]).where(~F.col("linked") | (F.col("d") >= F.col("reach") - r - _EPS))
+        label = F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("id"))
+        on = scratch.table(on.select(F.xxhash64("region", "pivot").alias("region"), F.col("region").alias("from"), "id", label.alias("label"), "home"))
+        of = large.select(F.col("region").alias("from"), F.col("weight").alias("parent"))
+        parent = scratch.table(on.select("region", "from").distinct().join(of, "from").groupBy("region").agg(F.min("parent").alias("parent")))
+        parts = scratch.table(on.drop("from").join(sets, "id").select("region", "id", "label", "home", "members"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
-def links_of(entered: DataFrame, sets_for, percent: int) -> DataFrame:
-    """Links (a, b) that connect whatever the similarity connects, among the points of entered (cell, id).
+def cluster(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_shingles and component_id (the smallest id reachable by links) of every row; ids are whole numbers.
 
-    sets_for(ids) gives the sets (id, members) of some points.
+    The result is a table in the checkpoint folder; all others that the join writes there are deleted.
     """
-    spark = entered.sparkSession
-    # a cell as a star: its first member with each other one; one shuffle, and a cell is never held in memory
-    first = F.first("id").over(Window.partitionBy("cell").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
-    met = materialise(entered.select(F.col("id").alias("a"), first.alias("b")).where("a != b").distinct())
-    if met.isEmpty():
-        return spark.createDataFrame([], "a long, b long")
-    regions = components(met).withColumnRenamed("component", "region")
-    sets = materialise(sets_for(regions.select("id")).join(regions, "id"))
-    placed = _blocks(sets.select("region", "id", F.size("members").cast("long").alias("n")), percent)
-
-    def join(key: tuple, rows: pa.Table) -> pa.Table:
-        members = rows.column("members").combine_chunks()
-        flat, at = members.values.to_numpy().view(np.uint64), members.offsets.to_numpy()
-        order = np.lexsort((rows.column("id").to_numpy(), np.diff(at)))
-        ids, sides = rows.column("id").to_numpy()[order], rows.column("side").to_numpy()[order]
-        found = Region([flat[at[k] : at[k + 1]] for k in order], sides, percent).forest()
-        return pa.table({"a": pa.array([int(ids[j]) for _, j in found], pa.int64()), "b": pa.array([int(ids[i]) for i, _ in found], pa.int64())})
-
-    return placed.join(sets.select("id", "members"), "id").groupBy("region", "i", "j").applyInArrow(join, "a long, b long")
-
-
-def cluster(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles and component_id (the smallest id reachable by links) of every row; ids are whole numbers."""
-    points = materialise(_points(docs, id_col, text_col, k, percent))
-    full = points.where("n > 0")
-    single = full.where("id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("cells").alias("cells"))
-    entered = single.select(F.explode("cells").alias("cell"), "id")
-    links = links_of(entered, lambda ids: _members(docs, id_col, text_col, k, ids), percent)
-    label = components(links).select(F.col("id").alias("rep"), "component")
-    reps = full.where("id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    reps = reps.join(label, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    empty = points.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    named = full.join(reps, ["d1", "d2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-    return named.unionByName(empty)
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise ValueError(f"{id_col} must hold whole numbers, not {kind.simpleString()}")
+    with Scratch(docs.sparkSession) as scratch:
+        read = scratch.table(_read(docs, id_col, text_col, k))
+        rows = read.where("slice is null").select("id", "n", "d1", "d2")
+        reps = scratch.table(rows.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id")))
+        points = scratch.table(_points(docs, id_col, text_col, k, percent, rarity(read), reps.select("id")))
+        met = candidates(points, percent, scratch)
+        scratch.drop(points)
+        regions = components(met, scratch).withColumnRenamed("component", "region")
+        parts = scratch.table(_members(docs, id_col, text_col, k, regions))
+        links = links_in(parts, percent, scratch)
+        label = components(links, scratch).select("id", "component")
+        named = reps.join(label, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
+        of_sets = rows.where("n > 0").join(named, ["d1", "d2"], "left")
+        component = F.when(F.col("id").isNotNull(), F.col("component_id"))
+        rest = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
+        out = of_sets.select("id", "n", component.alias("component_id")).unionByName(rest)
+        return scratch.keep(out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), "component_id"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -115,27 +116,64 @@ def test_jaccard_join(spark, k, percent):
     assert got == components(rows, k, percent)
 
 
-def test_jaccard_blocks_and_nulls(spark, monkeypatch):
-    monkeypatch.setattr(J, "BLOCK", 200)
-    rng = random.Random(9)
-    base = prose(rng, 60).split()
-    rows = []
-    for i in range(40):
-        words = list(base)
-        words[rng.randrange(60)] = f"n{rng.randrange(4)}"
-        rows.append((i, " ".join(words)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.cluster(frame(spark, rows), 3, 80).collect()}
-    assert got == components(rows, 3, 80)
-    out = J.cluster(frame(spark, [(None, "a b c"), (1, "a b c"), (1, "a b c")]), 3, 90).collect()
-    assert len(out) == 3
+def near_copies(rng, n, base, spread):
+    """n texts, each a chain of edits of base or of an earlier one."""
+    made = [list(base)]
+    for _ in range(n):
+        words = list(rng.choice(made))
+        for _ in range(rng.randint(0, spread)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.choice([0, 1, 2])] = [f"n{rng.randrange(300)}"]
+        made.append(words)
+    return [" ".join(w) for w in made]
+
+
+@pytest.mark.parametrize("block", [300, 3000, 20000])
+def test_jaccard_divides_large_regions(spark, monkeypatch, block):
+    monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "OVERHEAD", 0)
+    rng = random.Random(block)
+    some = [t for spread in (1, 4, 9) for t in near_copies(rng, 50, prose(rng, 60).split(), spread)]
+    rows = list(enumerate([*some, *texts()]))
+    for k, percent in ((3, 80), (2, 60)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.cluster(frame(spark, rows), k, percent).collect()}
+        assert got == components(rows, k, percent)
+
+
+def test_jaccard_nulls_and_types(spark, rows):
+    out = J.cluster(frame(spark, [(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "a b c"), (None, "")]), 3, 90).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.n_shingles) for r in out) == [("1", "1", 1), ("1", "1", 1), ("2", "1", 1), ("None", "None", 0), ("None", "None", 1)]
     assert J.cluster(empty(frame(spark, rows)), 3, 90).count() == 0
-
-
-def test_ring_plans_hold():
-    for percent in (60, 80, 90):
-        for number in range(1, 40):
-            ring = J.ring_of(number, percent)
-            assert ring.classes > ring.differ and ring.low <= ring.high + 1
+    with pytest.raises(ValueError):
+        J.cluster(frame(spark, rows).withColumn("doc_id", F.lit("x")))
+
+
+def test_jaccard_voronoi_in_a_task():
+    rng = np.random.default_rng(4)
+    for percent in (50, 80, 90):
+        sets = []
+        for _ in range(12):
+            base = rng.integers(0, 1 << 62, 60, dtype=np.uint64)
+            for _ in range(25):
+                own = base[rng.random(60) < rng.choice([0.8, 0.95])]
+                sets.append(np.unique(np.append(own, rng.integers(0, 1 << 62, 3, dtype=np.uint64))))
+        side = rng.random(len(sets)) < 0.7
+        region = J.Region(sets, np.arange(len(sets)), percent)
+        region.join(np.flatnonzero(side), np.flatnonzero(~side))
+        label = np.arange(len(sets))
+        for i in range(len(sets)):
+            for j in range(i):
+                inter = len(np.intersect1d(sets[i], sets[j]))
+                if (side[i] or side[j]) and inter * 100 >= (len(sets[i]) + len(sets[j]) - inter) * percent:
+                    label[label == label[j]] = label[i]
+        assert len(set(zip(label.tolist(), region.label.tolist(), strict=True))) == len(set(label.tolist())) == len(set(region.label.tolist()))
+
+
+def test_scratch_tables_are_deleted(spark, docs, tmp_path):
+    place = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = set(os.listdir(place))
+    J.cluster(docs, 3, 90).count()
+    assert len([x for x in set(os.listdir(place)) - before if x.startswith("table-")]) == 1
 
 
 def test_bfd_equals_naive():
