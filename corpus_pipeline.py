@@ -20,11 +20,15 @@ CAPACITY = 2048
 BROADCAST_IDS = 1_000_000
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a whole-numbered _key, null-safe; 64-bit hashes of two rows collide with a chance of about n^2 / 2^64."""
+def _own_ids(docs: DataFrame) -> bool:
+    """True if doc_id is a whole number of every row's own."""
     whole = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
-    shared = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
-    if whole and shared.isEmpty():
+    return whole and docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+
+
+def _keyed(docs: DataFrame, own: bool) -> DataFrame:
+    """docs with a whole-numbered _key, null-safe; 64-bit hashes of two rows collide with a chance of about n^2 / 2^64."""
+    if own:
         return docs.withColumn("_key", F.col("doc_id").cast("long"))
     return docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
 
@@ -42,8 +46,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each component of 5-word shingle sets 80 per cent alike."""
-    keyed = _keyed(docs)
-    found = materialise(jaccard_join.cluster(keyed, k=5, percent=80, id_col="_key").select("_key", "component_id").distinct())
+    own = _own_ids(docs)
+    keyed = _keyed(docs, own)
+    found = jaccard_join.cluster(keyed, k=5, percent=80, id_col="_key").select("_key", "component_id")
+    if own:  # a component's name is its smallest id
+        return _without(keyed, found.where("_key != component_id").select("_key")).select(*docs.columns)
+    found = materialise(found.distinct())
     linked = found.join(found.groupBy("component_id").count().where("count > 1"), "component_id", "left_semi")
     ids = linked.join(keyed.select("_key", "doc_id").distinct(), "_key")
     first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("first"))
@@ -57,7 +65,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    items, keyed = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), _keyed(docs)
+    items, keyed = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), _keyed(docs, _own_ids(docs))
     hit = winnowing.find_overlaps(keyed, items, id_col="_key").where("n_hit > 0").select("_key")
     return _without(keyed, hit).select(*docs.columns)
 
