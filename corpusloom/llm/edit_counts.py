@@ -11,7 +11,8 @@ paths to the root are updated.
 Only byte-level tokenizers have units that tile the text, so others are refused.
 
 Defined results: a null text is empty and counts 0; an edit beyond the text's
-end is cut off at the end.  Documents are independent rows: no shuffle, and
+end is cut off at the end.  Repeated rows get repeated results, an empty table an empty one;
+other columns are not read, whatever their names.  Documents are independent rows: no shuffle, and
 memory follows the longest text.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import UnitEncoder, batches_of, encoder, odd
+from .pretokens import UnitEncoder, batches_of, encoder
 
 LEAF = 64
 Edit = tuple[int, int, str]  # from, to (code points of the text as it is by then), replacement
@@ -114,7 +115,7 @@ class TokenTree:
             _, ahead = self._gather(high, 2, 1)
             region = "".join(before) + changed + "".join(after)
             text = region + "".join(ahead)
-            strange = odd(text) or odd(old)
+            strange = self.encode.odd(text) or self.encode.odd(old)
             fresh, at = [], 0
             for unit in [] if strange else self.encode.units(text):
                 if at >= len(region):
@@ -128,8 +129,7 @@ class TokenTree:
                 fresh = self.encode.units(region) if region else []
                 break
             reach *= 4
-        ids = self.encode.unit_ids([fresh])[0]
-        sizes = [len(x) // 4 for x in ids]
+        sizes = [len(x) // 4 for x in self.encode.unit_ids([fresh])[0]]
         self.encoded += len(fresh)
         (a, i), (b, j) = low, high
         head_u, head_s = self.units[a][:i], self.sizes[a][:i]

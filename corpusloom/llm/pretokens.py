@@ -5,7 +5,9 @@ white space, and encode each by itself.  So a text is cut at such places, each
 distinct unit is encoded once and kept in a cache of bounded size, and the ids
 of a text are its units' ids in a row: the same ids as for the whole text.
 Where a text holds a character on which Python's and the library's ideas of
-white space differ, the whole text is encoded directly.
+white space differ, the name of an added token (which the library cuts out first, with or
+without special tokens of its own), or, for a tokenizer that lower-cases, a letter whose lower case
+depends on its neighbours or is two characters, the whole text is encoded directly.
 
 A unit of a byte-level tokenizer is a run of non-space with the one space
 before it, or a run of spaces; of a tokenizer that drops white space, a run of
@@ -41,18 +43,16 @@ _PREFIX_UNITS = re.compile(rf" ?{_WORD}|[.,]++(?=\s|\Z)| ?\S+|\s+(?!\S)|\s+")
 _DROP_UNITS = re.compile(rf"{_WORD}|[.,]++(?=\s|\Z)|\S+")
 
 
-def odd(text: str) -> bool:
-    """True if the text holds a character of ODD."""
-    return any(c in text for c in ODD)
-
-
 class UnitEncoder:
     """ids of texts as bytes: little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.prefix = json.loads(Path(path).read_text(encoding="utf-8"))["pre_tokenizer"]["type"] == "ByteLevel"
+        stated = json.loads(Path(path).read_text(encoding="utf-8"))
+        self.prefix = stated["pre_tokenizer"]["type"] == "ByteLevel"
+        names = "|".join(re.escape(x["content"]) for x in stated["added_tokens"]) or "(?!)"
+        odd = ODD + ("" if self.prefix else _ODD_CASE)  # units in lower case may spell a name that the text has in capitals
+        self.strange = re.compile(f"[{odd}]|{names}" if self.prefix else f"[{odd}]|(?i:{names})").search
         self.known: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.marks = np.zeros(1 + max(vocabulary.values()), bool)
@@ -60,13 +60,17 @@ class UnitEncoder:
             self.marks[i] = token.startswith("\u0120") if self.prefix else token.endswith("</w>")
         self.plain = re.compile((" " if self.prefix else "") + _LETTERS).fullmatch
 
+    def odd(self, text: str) -> bool:
+        """True if the text can't be cut safely."""
+        return self.strange(text) is not None
+
     def units(self, text: str) -> list[str]:
         """The units of a text; a text that can't be cut safely is one unit."""
-        if odd(text):
+        if self.odd(text):
             return [text]
         if self.prefix:
             return _PREFIX_UNITS.findall(text)
-        if unicodedata.is_normalized("NFC", text) and not any(c in text for c in _ODD_CASE):
+        if unicodedata.is_normalized("NFC", text):
             text = text.lower()  # as the tokenizer does next, and distinct units are fewer
         return _DROP_UNITS.findall(text)
 

@@ -27,13 +27,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder or sc._jsc.sc().getCheckpointDir().get()
 
 
-def _written(df: DataFrame, path: str) -> None:
+def written(df: DataFrame, path: str, **options: str) -> None:
+    """Writes df as Parquet under _SETTINGS."""
     conf = df.sparkSession.conf
     before = {k: conf.get(k, None) for k in _SETTINGS}
     for k, v in _SETTINGS.items():
         conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         for k, v in before.items():
             if v is None:
@@ -49,7 +50,7 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    _written(df, path)
+    written(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -76,7 +77,7 @@ class Scratch:
         """df, computed once, until the end of the job."""
         path = f"{checkpoint_dir(self.spark).rstrip('/')}/table-{uuid.uuid4().hex}"
         self.paths.append(path)
-        _written(df, path)
+        written(df, path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

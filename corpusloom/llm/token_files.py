@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pretokens import batches_of, encoder
-from .tables import checkpoint_dir
+from .tables import checkpoint_dir, written
 
 BLOCK, STRIDE, MAX_BITS = 1 << 16, 128, 20
 
@@ -185,7 +185,7 @@ def _counts(raw: DataFrame) -> np.ndarray:
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes docs and writes the dataset to folder, which all executors must share."""
     spark = docs.sparkSession
-    _encode_ordered(docs, id_col, text_col, tokenizer, end_id).write.parquet(f"{folder}/raw")
+    written(_encode_ordered(docs, id_col, text_col, tokenizer, end_id), f"{folder}/raw")
     raw = spark.read.parquet(f"{folder}/raw")
     bits = code_lengths(_counts(raw))
     totals = raw.groupBy("part").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).orderBy("part").collect()
@@ -210,7 +210,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
             yield pa.RecordBatch.from_arrays(cols, ["part", "block", "start", "doc_ids", "counts", "checkpoints", "payload"])
 
     coded_rows = raw.mapInArrow(run, "part int, block int, start long, doc_ids array<long>, counts array<long>, checkpoints binary, payload binary")
-    coded_rows.write.option("compression", "none").parquet(f"{folder}/blocks")
+    written(coded_rows, f"{folder}/blocks", compression="none")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/raw")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
