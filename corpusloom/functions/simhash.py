@@ -9,6 +9,7 @@ than three, counted as often as they occur; an empty text has all bits set.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,8 @@ from pyspark.sql import types as T
 
 from .text import let, normalized
 
-BANDS = 7
+#: Blocks of 8 bits that a fingerprint is cut into.
+BLOCKS = 8
 
 
 def _fingerprint(text: str) -> int:
@@ -60,11 +62,10 @@ def simhash_md5(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return counted.select(id_col, F.shiftleft(word(0), 32).bitwiseOR(word(32)).alias("simhash"))
 
 
-def bands(fingerprint: Column) -> Column:
-    """BANDS values that split the 64 bits: fingerprints that differ in fewer bits than BANDS agree in one."""
-    width = [9] * 6 + [10]
-    out, at = [], 0
-    for i, w in enumerate(width):
-        out.append(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(fingerprint, at).bitwiseAND((1 << w) - 1).alias("value")))
-        at += w
-    return F.array(*out)
+def block_keys(fingerprint: Column, max_bits: int) -> Column:
+    """A key for each choice of BLOCKS - max_bits blocks: fingerprints within max_bits agree in all blocks of one choice."""
+    if not 0 <= max_bits < BLOCKS:
+        raise ValueError(f"{BLOCKS} blocks find distances of {BLOCKS - 1} bits at most")
+    masks = [sum(0xFF << 8 * i for i in choice) for choice in itertools.combinations(range(BLOCKS), BLOCKS - max_bits)]
+    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    return F.array(*[F.struct(F.lit(i).alias("choice"), fingerprint.bitwiseAND(F.lit(m).cast("long")).alias("value")) for i, m in enumerate(masks)])

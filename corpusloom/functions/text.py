@@ -174,7 +174,7 @@ def quality_reason(
     def of(v: Column) -> Column:
         given = strip(F.coalesce(F.col(solution), F.lit("")))
         return (
-            F.when(F.lower(strip(F.coalesce(F.col(judgement), F.lit("")))) != require_judgement.lower(), "judgement")
+            F.when(F.lower(F.coalesce(F.col(judgement), F.lit(""))) != require_judgement.lower(), "judgement")
             .when(v["rate"].isNull() | F.isnan(v["rate"]), "pass_rate")
             .when((v["rate"] < 0) & F.lit(not allow_unverified), "unverified")
             .when((v["rate"] >= 0) & (v["rate"] < minimum_pass_rate), "pass_rate")

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import difficulty, split_generation, strip
+from ..functions.text import difficulty, render_response, split_generation, strip
 
+#: Fixed value: the source that samples name.
+SOURCE = "nvidia/OpenCodeReasoning-2"
 LEVELS = ("easy", "medium", "hard")
 TESTS = "array<struct<input:string,output:string,testtype:string>>"
 #: The pickle operations of a lone string.
@@ -73,7 +75,7 @@ def adapt_problems(raw: DataFrame, ordinal: str = "ord") -> DataFrame:
     return adapted.select(ordinal, "problem_id", F.lit("livecodebench").alias("source"), F.col("question_content").alias("problem"), F.lit("cpp").alias("language"), "difficulty", tests.alias("tests"), merged.alias("metadata"), "reason")
 
 
-def adapt_samples(candidates: DataFrame, question: str = "question") -> DataFrame:
+def adapt_samples(candidates: DataFrame, question: str = "question", source: str = SOURCE) -> DataFrame:
     """Training samples with reason, from candidates that carry their question."""
     parsed = split_generation(F.col("r1_generation"))
     rate = strip(F.coalesce(F.col("pass_rate").cast("string"), F.lit("-1"))).try_cast("double")
@@ -85,11 +87,13 @@ def adapt_samples(candidates: DataFrame, question: str = "question") -> DataFram
     return rows.select(
         F.concat(F.lit("ocr2:"), "question_id").alias("problem_id"),
         F.concat(F.lit("ocr2:"), "id").alias("sample_id"),
-        F.col(question).alias("problem"),
+        F.lit(source).alias("source"),
+        asked.alias("problem"),
         difficulty(F.col("difficulty")).alias("difficulty"),
         F.array().cast("array<string>").alias("tags"),
         F.col("_p.reasoning").alias("reasoning"),
         F.col("_p.code").alias("code"),
+        render_response(F.col("_p.reasoning"), F.col("_p.code")).alias("response"),
         F.lit("cpp").alias("language"),
         verified.alias("verified"),
         meta.alias("metadata"),

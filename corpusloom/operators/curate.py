@@ -1,7 +1,7 @@
 """Deduplication, ordering, quotas and splits.
 
 Orders are explicit columns: nothing relies on the order of rows in a
-DataFrame.  Global ranks are computed on narrow rows and joined back.
+DataFrame.  Global ranks come from sorted ranges, each counted by itself.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 
 def best_by(rows: DataFrame, key: str, order: list[Column], first_seen: str) -> DataFrame:
     """One row for each key, the first by order, with first_seen: the smallest ordinal of its group.
@@ -36,10 +38,8 @@ def balanced_rank(rows: DataFrame, seed: int, id_col: str, buckets: list[str], n
 
 
 def dense_ordinal(rows: DataFrame, order: list[Column], id_col: str, name: str = "ord") -> DataFrame:
-    """rows with their place, from 0, in a total order; the sort sees ids and sort keys alone."""
-    narrow = rows.select(F.col(id_col).alias("_id"), *[o.alias(f"_o{i}") for i, o in enumerate(order)])
-    placed = narrow.withColumn(name, F.row_number().over(Window.orderBy(*[f"_o{i}" for i in range(len(order))], "_id")).cast("long") - 1)
-    return rows.join(placed.select("_id", name), F.col(id_col) == F.col("_id")).drop("_id")
+    """rows with their place, from 0, in a total order, ties by id; every row has a place of its own, also where ids repeat."""
+    return numbered(rows, [*order, F.col(id_col)], name)
 
 
 def stride_shard(rows: DataFrame, index: int, count: int, ordinal: str = "ord") -> DataFrame:

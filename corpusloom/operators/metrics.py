@@ -17,8 +17,8 @@ def percentile_index(n: Column, p: float, rule: str) -> Column:
     return F.least(n - 1, F.floor(F.lit(float(p)) * n))
 
 
-def percentiles(rows: DataFrame, group: list[str], value: str, quantiles=QUANTILES, rule: str = "round") -> DataFrame:
-    """A row for each group with p50, p90, ... and max: exact, from counts of each distinct value.
+def percentiles(rows: DataFrame, group: list[str], value: str, quantiles=QUANTILES, rule: str = "round", counted_too: bool = False) -> DataFrame:
+    """A row for each group with p50, p90, ... and max: exact, from counts of each distinct value; and n_rows and mean if counted_too.
 
     Counting first keeps a group's rows out of one task; the window sees distinct values only.
     """
@@ -30,7 +30,8 @@ def percentiles(rows: DataFrame, group: list[str], value: str, quantiles=QUANTIL
     at = lambda p: percentile_index(F.col("_all"), p, rule)
     holds = lambda p: (at(p) < F.col("_to")) & (at(p) >= F.col("_to") - F.col("_n"))
     named = [F.max(F.when(holds(p), F.col("_v"))).alias(f"p{round(100 * p)}") for p in quantiles]
-    return run.groupBy(*group).agg(*named, F.max("_v").alias("max"))
+    more = [F.sum("_n").alias("n_rows"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean")] if counted_too else []
+    return run.groupBy(*group).agg(*named, F.max("_v").alias("max"), *more)
 
 
 def per_problem(records: DataFrame) -> DataFrame:
@@ -47,8 +48,20 @@ def per_problem(records: DataFrame) -> DataFrame:
     )
 
 
+def require_equal_samples(records: DataFrame) -> None:
+    """Raises if records are none, or problems have different numbers of samples."""
+    n = records.groupBy("problem_id").count().agg(F.min("count"), F.max("count")).first()
+    if n[0] is None:
+        raise ValueError("no generation records")
+    if n[0] != n[1]:
+        raise ValueError(f"problems have {n[0]} to {n[1]} samples; every problem needs as many")
+
+
 def metrics(records: DataFrame, k: int) -> DataFrame:
-    """A row over all (difficulty null, overall true) and one for each difficulty; a failed extraction's tests count."""
+    """A row over all (difficulty null, overall true) and one for each difficulty; a failed extraction's tests count.
+
+    Problems may have different numbers of samples here; require_equal_samples() refuses that.
+    """
     one, many = pass_at_k(F.col("n"), F.col("c"), 1), pass_at_k(F.col("n"), F.col("c"), k)
     rated = per_problem(records).withColumn("p1", one).withColumn("pk", many)
     share = lambda a, b: F.coalesce(F.try_divide(F.sum(a), F.sum(b)), F.lit(0.0))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.simhash import simhash, simhash_md5
-from ..operators import adapt, curate, judge, leakage, metrics, runs, tokens
+from ..operators import adapt, curate, judge, leakage, metrics, runs, select, tokens
 
 SEED = 20260821
 _REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -276,17 +276,22 @@ def extract_code(spark, sf_dir):
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(_t(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+    n = F.col("n_chars")
+    spaces = F.repeat(F.lit(" "), F.greatest(n - 40, F.lit(0)).cast("int"))
+    thought = F.when(n % 10 == 4, "x").otherwise("thought")
     made = rows.select(
-        "doc_id", "lang",
-        F.when(F.col("quality") == 1, "RIGHT ").when(F.col("quality") == 0, "wrong").alias("judgement"),
-        F.when(F.col("toxic") == 1, "-1").otherwise("1.0").alias("pass_rate"),
-        F.when(F.col("n_chars") % 10 == 3, "no program").otherwise(F.concat(F.lit("<think>x</think>```cpp\nint main() {"), F.repeat(F.lit(" "), F.greatest(F.col("n_chars") - 40, F.lit(0)).cast("int")), F.lit("}\n```"))).alias("r1_generation"),
-        F.lit("").alias("solution"), "n_chars",
+        "doc_id", "lang", "n_chars",
+        F.when((F.col("quality") == 1) & (n % 4 == 0), "RIGHT ").when(F.col("quality") == 1, "RIGHT").when(F.col("quality") == 0, "wrong").alias("judgement"),
+        F.when(F.col("toxic") == 1, "-1").when(n % 13 == 1, "abc").when(n % 13 == 2, "0.5").otherwise("1.0").alias("pass_rate"),
+        F.when(n % 10 == 3, "no program").otherwise(F.concat(F.lit("<think>"), thought, F.lit("</think>```cpp\nint main() {"), spaces, F.lit("}\n```"))).alias("r1_generation"),
+        F.when(n % 10 == 5, "int main() { return 7; }").when(n % 10 == 6, "int\tmain ( ) { }").otherwise("").alias("solution"),
     )
-    return made.withColumn("reason", X.quality_reason(maximum_response=8192, generation="r1_generation"))
+    return made.withColumn("reason", X.quality_reason(minimum_reasoning=5, maximum_response=8192, generation="r1_generation"))
 
 
-_GATED_SQL = "(select d.doc_id, d.lang, case when coalesce(l.quality, 0) <> 1 then 'judgement' when l.toxic = 1 then 'unverified' when d.n_chars % 10 = 3 then 'generation' when greatest(d.n_chars - 40, 0) + 41 > 8192 then 'response_too_long' end as reason from documents d left join labels l on d.doc_id = l.doc_id)"
+_GATED_SQL = """(select d.doc_id, d.lang, case when coalesce(l.quality, 0) <> 1 or d.n_chars % 4 = 0 then 'judgement' when l.toxic = 1 then 'unverified' when d.n_chars % 13 in (1, 2) then 'pass_rate'
+ when d.n_chars % 10 = 3 then 'generation' when d.n_chars % 10 = 5 then 'solution_mismatch' when d.n_chars % 10 = 4 then 'reasoning_too_short'
+ when 39 + 7 + greatest(d.n_chars - 40, 0) > 8192 then 'response_too_long' end as reason from documents d left join labels l on d.doc_id = l.doc_id)"""
 
 
 @_registered(f"select doc_id, reason from {_GATED_SQL}")
@@ -410,6 +415,73 @@ def group_advantage(spark, sf_dir):
     return rows.select("user_id", "event_id", F.round("advantage", 6).alias("advantage"))
 
 
+@_registered("select doc_id, n_chars from documents order by n_chars, doc_id limit 64")
+def shortest_rows(spark, sf_dir):
+    """The shortest documents first."""
+    return select.load_rows(_t(spark, sf_dir, "documents").select("doc_id", "n_chars"), 64, "shortest", total="n_chars", id_col="doc_id")
+
+
+_SHORT = "(select d.doc_id, d.n_chars, d.source from documents d join labels l on d.doc_id = l.doc_id where l.quality = 1 and d.n_chars <= 4096 order by d.doc_id limit 50)"
+
+
+def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _t(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("verified"))
+    rows = _t(spark, sf_dir, "documents").join(labels, "doc_id")
+    return select.select_short_rows(rows, 4096, 50, length="n_chars", id_col="doc_id", ordinal="doc_id")
+
+
+@_registered(f"""with v as (select n_chars, row_number() over (order by n_chars) - 1 as i, count(*) over () as n from {_SHORT})
+ select {", ".join(f"max(n_chars) filter (i = least(n - 1, floor({p}::double * n))) as p{round(100 * p)}" for p in metrics.QUANTILES)}, max(n_chars) as max, count(*) as n_rows, avg(n_chars) as mean from v""")
+def short_subset_stats(spark, sf_dir):
+    """Percentiles of the first 50 verified documents of at most 4,096 characters: a bounded subset is the feature."""
+    return select.short_stats(_short(spark, sf_dir), "n_chars")
+
+
+@_registered(f"select source as value, count(*) as n from {_SHORT} group by 1")
+def short_subset_histogram(spark, sf_dir):
+    return select.histogram(_short(spark, sf_dir), "source")
+
+
+@_registered(f"select count(*) as n_rows, sum(n_chars)::bigint as n_tokens, sha256(string_agg(doc_id::varchar, ',' order by doc_id)) as ids_sha256 from {_SHORT}")
+def selected_tokens(spark, sf_dir):
+    return select.selected_tokens(_short(spark, sf_dir), "n_chars", "doc_id", "doc_id")
+
+
+@_registered(f"""with p as (select lang, row_number() over (partition by lang order by sha256('{SEED}:' || lang || ':' || doc_id), doc_id) as place, count(*) over (partition by lang)::double as n from documents),
+ s as (select lang, case when place <= greatest(1, round_even(n * 0.2, 0)) then 'dev' else 'eval' end as split from p)
+ select split, count(*) as total, {", ".join(f"count(*) filter (lang = '{x}') as {x}" for x in ("en", "fr", "xx"))} from s group by 1""")
+def split_level_counts(spark, sf_dir):
+    """Counts by split and level, 0 for a level that no row has."""
+    return select.split_counts(hash_stratified_split(spark, sf_dir), "lang", ["en", "fr", "xx"])
+
+
+@_registered(f"select item_id, case when t in ('', '-') then 'missing_question' when length(t) < 80 then 'short_question' end as reason from (select item_id, trim(coalesce(text, ''), {_SPACE}) as t from benchmark) union all select conv_id * 1000000 + turn, case when t in ('', '-') then 'missing_question' when length(t) < 80 then 'short_question' end from (select conv_id, turn, trim(coalesce(text, ''), {_SPACE}) as t from conversations)")
+def short_questions(spark, sf_dir):
+    """Why a question is turned down for its length, of benchmark items and of conversations' turns."""
+    items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long"), "text")
+    turns = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000000 + F.col("turn")).alias("item_id"), "text")
+    return items.unionByName(turns).select("item_id", select.question_reason(F.col("text")).alias("reason"))
+
+
+@_registered("select doc_id from documents intersect select doc_id from labels")
+def shared_ids(spark, sf_dir):
+    return select.shared_ids(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), "doc_id")
+
+
+@_registered(f"select reason, count(*) as n from {_GATED_SQL} where reason like 'r%' group by 1")
+def rejects_by_prefix(spark, sf_dir):
+    return select.with_reason_prefix(adapt.reject_report(_gated(spark, sf_dir)), "r")
+
+
+@_registered(f"select concat('part', t.doc_id % 2) as training_file, t.doc_id as training_id, min(e.doc_id) as eval_id, 'eval_exact' as reason from {_FINGER} t join {_FINGER} e on t.sha = e.sha where t.doc_id % 5 <> 0 and e.doc_id % 5 = 0 and length(t.norm) < 100 group by 1, 2")
+def leaks_by_file(spark, sf_dir):
+    """Leaks of two training files, of texts too short for fingerprints to count, under the curation's reasons."""
+    training, evaluation = _sides(spark, sf_dir)
+    short = training.where(F.col("normalized_length") < leakage.MIN_LENGTH)
+    files = {f"part{k}": short.where(F.col("training_id") % 2 == k) for k in (0, 1)}
+    return leakage.curation_reasons(leakage.find_leaks_by_file(files, evaluation, use_ids=False))
+
+
 @_registered()
 def judge_outputs(spark, sf_dir):
     """Verdicts on a small set of programs: pass, wrong answer, runtime error and compile error."""
@@ -424,7 +496,8 @@ def judge_outputs(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in _REGISTRY.items()}
+    usable = judge.usable()  # judge_outputs needs a compiler that works
+    return {name: f for name, (f, _) in _REGISTRY.items() if usable or f is not judge_outputs}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import simhash as S
 from corpusloom.functions import text as X
-from corpusloom.operators import adapt, curate, judge, leakage, metrics, runs, tokens
+from corpusloom.operators import adapt, curate, judge, leakage, metrics, runs, select, tokens
 from corpusloom.plans import catalog
 from corpusloom.sources import jsonl
 from corpusloom.streaming import dedup
@@ -253,3 +253,61 @@ def test_judge_compiles(tmp_path):
         pytest.skip("no C++ compiler here")
     sums = "#include <iostream>\nint main() { int a, b; std::cin >> a >> b; std::cout << a + b; }"
     assert judge.judge_program(sums, [("1 2", "3"), ("2 2", "5")])["passed"] == 1
+
+
+def test_ordinals_of_repeated_ids(spark):
+    rows = spark.createDataFrame([(7, "b"), (7, "a"), (1, "c"), (None, "d"), (1, "c")], "id int, x string")
+    got = curate.dense_ordinal(rows, [F.col("x")], "id").orderBy("ord").collect()
+    assert [(r.x, r.id, r.ord) for r in got] == [("a", 7, 0), ("b", 7, 1), ("c", 1, 2), ("c", 1, 3), ("d", None, 4)]
+    assert curate.dense_ordinal(rows.where("id > 9"), [F.col("x")], "id").count() == 0
+
+
+def test_near_pairs_of_copies(spark):
+    rng = random.Random(3)
+    prints = [rng.getrandbits(64) - (1 << 63) for _ in range(60)]
+    flip = lambda x, n: (x ^ sum(1 << b for b in rng.sample(range(63), n)))
+    left = [(i, flip(rng.choice(prints), rng.randint(0, 8))) for i in range(150)]
+    right = [(i, rng.choice(prints)) for i in range(90)]
+    got = leakage.near_pairs(spark.createDataFrame(left, "a int, simhash long"), spark.createDataFrame(right, "b int, simhash long"), "a", "b").collect()
+    bits = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count()
+    assert sorted((r.a, r.b, r.distance) for r in got) == sorted((i, j, bits(x, y)) for i, x in left for j, y in right if bits(x, y) <= 6)
+
+
+def test_selection(spark):
+    rows = spark.createDataFrame([("b", 0, True, (3, 9)), ("a", 1, True, (3, 9)), ("c", 2, False, (1, 2)), ("d", 3, True, (50, 60))], "problem_id string, ord int, verified boolean, token_counts struct<response:int,total:int>")
+    ids = lambda df: [r.problem_id for r in df.collect()]
+    assert ids(select.load_rows(rows, 2, "shortest")) == ["c", "a"] and ids(select.load_rows(rows)) == ["b", "a", "c", "d"]
+    for wrong in ({"selection": "longest"}, {"limit": 0}):
+        with pytest.raises(ValueError):
+            select.load_rows(rows, **wrong)
+    assert ids(select.select_short_rows(rows, 10, 2)) == ["b", "a"]
+    with pytest.raises(ValueError, match="were wanted"):
+        select.select_short_rows(rows, 10, 3)
+    with pytest.raises(ValueError, match="share an id"):
+        select.select_short_rows(rows.unionAll(rows.withColumn("ord", F.lit(0))), 10, 3)
+    select.require_levels(rows, "verified", [True, False])
+    with pytest.raises(ValueError):
+        select.require_levels(rows, "problem_id", ["a", "b"])
+    counts = select.split_counts(rows.withColumn("split", F.lit("x")), "problem_id", ["a", "zz"]).first()
+    assert (counts.total, counts.a, counts.zz) == (4, 1, 0)
+
+
+def test_unequal_samples_raise(spark):
+    records = spark.createDataFrame([("a",), ("a",), ("b",)], "problem_id string")
+    with pytest.raises(ValueError, match="1 to 2 samples"):
+        metrics.require_equal_samples(records)
+    with pytest.raises(ValueError, match="no generation"):
+        metrics.require_equal_samples(records.where("problem_id = 'c'"))
+    metrics.require_equal_samples(records.where("problem_id = 'a'"))
+
+
+def test_a_broken_compiler_is_no_verdict(monkeypatch):
+    assert judge.usable("no-such-compiler") is False
+    monkeypatch.setattr(judge, "usable", lambda: False)
+    with pytest.raises(RuntimeError, match="compiler does not work"):
+        judge._need_compiler()
+
+
+def test_judgement_is_not_stripped(spark):
+    rows = spark.createDataFrame([("RIGHT",), ("right ",)], "judgement string").select("*", F.lit("1.0").alias("pass_rate"), F.lit("<think>a</think>```cpp\nint main() {}\n```").alias("r1_generation"), F.lit("").alias("solution"))
+    assert [r[0] for r in rows.select(X.quality_reason()).collect()] == [None, "judgement"]
