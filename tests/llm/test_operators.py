@@ -467,6 +467,10 @@ def test_toxicity(spark):
     held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 3 == 1]
     assert np.mean([(got[i] >= 0.7) == (i % 4 == 0) for i in held]) > 0.95
     assert got[1000] == got[1001] < 0.5
+    twice = docs.where("doc_id < 3").unionAll(docs.where("doc_id < 3")).withColumn("score", F.lit("clash"))
+    assert sorted((r.doc_id, r.score) for r in C.score(twice, model).collect()) == sorted((i, got[i]) for i in (0, 0, 1, 1, 2, 2))
+    assert C.score(empty(docs), model).count() == 0
+    assert 0 <= C.Scorer(model).score("word " * 100_000) <= 1
     none = C.score(docs, C.fit(docs, marks.where("doc_id < 0"))).agg(F.max("score")).first()[0]
     assert none == 0.0
 
