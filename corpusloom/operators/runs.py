@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import extract_code
+
 
 class InvalidRows(ValueError):
     """A dataset breaks a rule; the message names the first line and rule."""
@@ -24,12 +26,14 @@ def checked(rows: DataFrame, reason: str = "reason", line: str = "line") -> Data
 def validate_problems(rows: DataFrame, line: str = "line") -> DataFrame:
     """Problems, after every rule held: an id, unique, a statement, C++, tests with text; and at least one row."""
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    firsts = rows.groupBy("problem_id").agg(F.min(line).alias("_first"))
+    # a line's place is that of its file and then its own, where rows come from several files
+    place = F.struct(*[F.col(c) for c in ("path_rank", line) if c in rows.columns])
+    firsts = rows.groupBy("problem_id").agg(F.min(place).alias("_first"))
     marked = rows.join(firsts, "problem_id", "left")
     bad_io = F.exists("tests", lambda t: t["input"].isNull() | t["output"].isNull())
     reason = (
         F.when(empty("problem_id"), "missing problem_id")
-        .when(F.col(line) > F.col("_first"), "duplicate problem_id")
+        .when(place > F.col("_first"), "duplicate problem_id")
         .when(empty("problem"), "empty problem")
         .when(F.coalesce(F.col("language"), F.lit("")) != "cpp", "language is not cpp")
         .when(F.coalesce(F.size("tests"), F.lit(0)) <= 0, "no tests")
@@ -105,3 +109,33 @@ def merge_shards(shards: list[DataFrame], ids: DataFrame, samples: int) -> DataF
     if any(found):
         raise InvalidRows(f"{found.duplicates} duplicate, {found.missing} missing and {found.extra} extra records")
     return records.join(ids, "problem_id").orderBy("pos", "sample_index")
+
+
+def generation_records(rows: DataFrame) -> DataFrame:
+    """Records of generations (problem_id, difficulty, sample_index, prompt, response, response_tokens, finish_reason, tests), to be judged.
+
+    Adds response_length, total_tests, the code found and extraction_success; a null response is empty.
+    """
+    response = F.coalesce("response", F.lit(""))
+    coded = rows.withColumn("response", response).withColumn("code", extract_code(F.col("response")))
+    return coded.select(
+        "problem_id", "difficulty", "sample_index", "prompt", "response",
+        F.length("response").alias("response_length"), "response_tokens", "finish_reason",
+        F.coalesce(F.size("tests"), F.lit(0)).alias("total_tests"),
+        F.col("code").isNotNull().alias("extraction_success"), "code",
+    )
+
+
+def judged_records(records: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """records with judge, the verdict by (problem_id, sample_index); null where no code was found."""
+    rest = [c for c in verdicts.columns if c not in ("problem_id", "sample_index")]
+    own = verdicts.select("problem_id", "sample_index", F.struct(*rest).alias("judge"))
+    joined = records.join(own, ["problem_id", "sample_index"], "left")
+    return joined.withColumn("judge", F.when(F.col("extraction_success"), F.col("judge")))
+
+
+def request_batches(rows: DataFrame, size: int, ordinal: str = "ord") -> DataFrame:
+    """rows with batch: consecutive runs of size rows of a dense ordinal."""
+    if size <= 0:
+        raise ValueError("size must be positive")
+    return rows.withColumn("batch", F.expr(f"{ordinal} div {int(size)}"))

@@ -415,6 +415,20 @@ def group_advantage(spark, sf_dir):
     return rows.select("user_id", "event_id", F.round("advantage", 6).alias("advantage"))
 
 
+@_registered("""select doc_id::varchar as problem_id, (n_chars % 4)::integer as sample_index, length(r)::integer as response_length, 2 as total_tests, starts_with(r, '<think>') as extraction_success,
+ case when starts_with(r, '<think>') then 'int main() { return ' || (n_chars % 100) || '; }' end as code from (select doc_id, n_chars,
+ case when n_chars % 3 = 0 then '' when n_chars % 3 = 1 then 'no program here' else '<think>plan</think>```cpp' || chr(10) || 'int main() { return ' || (n_chars % 100) || '; }' || chr(10) || '```' end as r from documents)""")
+def generation_records(spark, sf_dir):
+    n = F.col("n_chars")
+    program = F.concat(F.lit("<think>plan</think>```cpp\nint main() { return "), (n % 100).cast("string"), F.lit("; }\n```"))
+    case = F.struct(F.lit("1").alias("input"), F.lit("1").alias("output"))
+    rows = _t(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("problem_id"), F.lit(None).cast("string").alias("difficulty"), (n % 4).cast("int").alias("sample_index"), F.lit("").alias("prompt"),
+        F.when(n % 3 == 1, "no program here").when(n % 3 == 2, program).alias("response"), F.lit(1).alias("response_tokens"), F.lit("stop").alias("finish_reason"), F.array(case, case).alias("tests"),
+    )
+    return runs.generation_records(rows).select("problem_id", "sample_index", "response_length", "total_tests", "extraction_success", "code")
+
+
 @_registered("select doc_id, n_chars from documents order by n_chars, doc_id limit 64")
 def shortest_rows(spark, sf_dir):
     """The shortest documents first."""

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: 2 to the 64th, as a decimal in SQL.
+TWO_64 = "18446744073709551616BD"
+
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType | str) -> DataFrame:
     """Rows of files in the order given, with line (from 1, blanks counted), path_rank and a dense ord; bad lines raise."""
@@ -59,7 +62,7 @@ def read_fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """The fingerprints of a JSON document; simhash as a signed long."""
     raw = spark.read.schema("fingerprints array<struct<problem_id:string,sha256:string,simhash:decimal(20,0),normalized_length:int>>").option("multiLine", True).json(path)
     rows = raw.select(F.posexplode("fingerprints").alias("eval_ord", "f")).select("eval_ord", "f.*")
-    signed = F.when(F.col("simhash") >= 2**63, F.col("simhash") - F.lit(2**64).cast("decimal(20,0)")).otherwise(F.col("simhash"))
+    signed = F.when(F.col("simhash") > F.expr("9223372036854775807BD"), F.col("simhash") - F.expr(TWO_64)).otherwise(F.col("simhash"))
     return rows.withColumn("simhash", signed.cast("long"))
 
 
@@ -90,6 +93,26 @@ def staged(spark: SparkSession, folder: str, config: dict, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def append_generations(rows: DataFrame, path: str) -> None:
-    """Whole problems of generation records, appended by the committed writer."""
-    rows.write.mode("append").parquet(path)
+def append_generations(rows: DataFrame, path: str, batch: str) -> None:
+    """Whole problems of generation records, as the table of a batch: written again, a batch replaces itself, so a retry repeats nothing."""
+    rows.drop("batch_id").write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch}")
+
+
+def read_generations(spark: SparkSession, path: str) -> DataFrame:
+    """All batches of a generation table."""
+    return spark.read.option("basePath", path).parquet(path).drop("batch_id")
+
+
+def fingerprint_json(fingerprints: DataFrame) -> DataFrame:
+    """One row, the document that read_fingerprints reads: (problem_id, sha256, simhash, normalized_length) in order of eval_ord.
+
+    Evaluation sets are small: the rows are gathered to one.
+    """
+    unsigned = F.col("simhash").cast("decimal(20,0)") + F.when(F.col("simhash") < 0, F.expr(TWO_64)).otherwise(F.lit(0).cast("decimal(20,0)"))
+    row = F.struct("eval_ord", "problem_id", "sha256", unsigned.cast("decimal(20,0)").alias("simhash"), "normalized_length")
+    listed = F.transform(F.sort_array(F.collect_list(row)), lambda x: F.struct(x["problem_id"].alias("problem_id"), x["sha256"].alias("sha256"), x["simhash"].alias("simhash"), x["normalized_length"].alias("normalized_length")))
+    return fingerprints.agg(listed.alias("fingerprints"))
+
+
+def write_fingerprints(fingerprints: DataFrame, path: str) -> None:
+    fingerprint_json(fingerprints).coalesce(1).write.mode("overwrite").json(path)

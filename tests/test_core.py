@@ -7,6 +7,7 @@ import math
 import pickle
 import random
 import zlib
+from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from corpusloom.functions import simhash as S
 from corpusloom.functions import text as X
 from corpusloom.operators import adapt, curate, judge, leakage, metrics, runs, select, tokens
 from corpusloom.plans import catalog
-from corpusloom.sources import jsonl
+from corpusloom.sources import jsonl, reports
 from corpusloom.streaming import dedup
 
 
@@ -311,3 +312,62 @@ def test_a_broken_compiler_is_no_verdict(monkeypatch):
 def test_judgement_is_not_stripped(spark):
     rows = spark.createDataFrame([("RIGHT",), ("right ",)], "judgement string").select("*", F.lit("1.0").alias("pass_rate"), F.lit("<think>a</think>```cpp\nint main() {}\n```").alias("r1_generation"), F.lit("").alias("solution"))
     assert [r[0] for r in rows.select(X.quality_reason()).collect()] == [None, "judgement"]
+
+
+def test_reports_and_runs(spark, tmp_path):
+    folder = str(tmp_path)
+    (tmp_path / "c.yaml").write_text("data: {seed: 1}\nname: x\n")
+    (tmp_path / "bad.yaml").write_text("- 1\n")
+    config = reports.load_config(spark, f"{folder}/c.yaml")
+    reports.require_sections(config, "data")
+    with pytest.raises(reports.ConfigError, match="name, more"):
+        reports.require_sections(config, "data", "name", "more")
+    for name in ("bad.yaml", "none.yaml"):
+        with pytest.raises(reports.ConfigError):
+            reports.load_config(spark, f"{folder}/{name}")
+    when = datetime(2026, 1, 2, 3, 4, 5, tzinfo=UTC)
+    path = reports.start_run(spark, folder, "eval", config, when)
+    assert path.endswith("20260102T030405Z_eval") and reports.read_report(spark, f"{path}/environment.json")["spark"] == spark.version
+    with pytest.raises(FileExistsError):
+        reports.start_run(spark, folder, "eval", config, when)
+    assert reports.resume_run(spark, path, config) == path
+    with pytest.raises(reports.ConfigError):
+        reports.resume_run(spark, path, {"data": {"seed": 2}})
+    reports.write_report(spark, spark.range(3).selectExpr("sum(id) as n"), f"{path}/metrics.json")
+    assert reports.read_report(spark, f"{path}/metrics.json") == {"n": 3}
+    with pytest.raises(ValueError):
+        reports.write_report(spark, spark.range(2), f"{path}/two.json")
+
+
+def test_generation_records_and_batches(spark, tmp_path):
+    schema = "problem_id string, difficulty string, sample_index int, prompt string, response string, response_tokens int, finish_reason string, tests array<struct<input:string,output:string>>"
+    rows = spark.createDataFrame([("p", "easy", 0, "q", "```cpp\nint main() {}\n```", 3, "stop", [("1", "1")]), ("p", "easy", 1, "q", None, None, "length", None)], schema)
+    records = runs.generation_records(rows)
+    verdicts = spark.createDataFrame([("p", 0, True), ("p", 1, True)], "problem_id string, sample_index int, compiled boolean")
+    got = runs.judged_records(records, verdicts).orderBy("sample_index").collect()
+    assert [(r.response_length, r.total_tests, r.extraction_success, r.code, r.judge and r.judge.compiled) for r in got] == [(24, 1, True, "int main() {}", True), (0, 0, False, None, None)]
+    path = str(tmp_path / "generations")
+    for _ in range(2):  # a retry repeats nothing
+        jsonl.append_generations(records.where("sample_index = 0"), path, "a")
+    jsonl.append_generations(records.where("sample_index = 1"), path, "b")
+    assert sorted(r.sample_index for r in jsonl.read_generations(spark, path).collect()) == [0, 1]
+    assert [r.batch for r in runs.request_batches(spark.range(5).withColumnRenamed("id", "ord"), 2).orderBy("ord").collect()] == [0, 0, 1, 1, 2]
+
+
+def test_fingerprints_round_trip(spark, tmp_path):
+    rows = [(0, "a", "x", -5, 7), (1, "b", "y", (1 << 62) + 3, 120)]
+    jsonl.write_fingerprints(spark.createDataFrame(rows, "eval_ord int, problem_id string, sha256 string, simhash long, normalized_length int"), str(tmp_path / "f"))
+    got = jsonl.read_fingerprints(spark, str(tmp_path / "f")).orderBy("eval_ord").collect()
+    assert [tuple(r) for r in got] == rows
+
+
+def test_duplicates_across_files(spark, tmp_path):
+    schema = "problem_id string, problem string, language string, tests array<struct<input:string,output:string>>"
+    row = json.dumps({"problem_id": "a", "problem": "p", "language": "cpp", "tests": [{"input": "1", "output": "1"}]})
+    paths = []
+    for name in ("x", "y"):
+        (tmp_path / name).write_text(row + "\n")
+        paths.append(str(tmp_path / name))
+    with pytest.raises(runs.InvalidRows, match="duplicate"):
+        runs.validate_problems(jsonl.read_jsonl(spark, paths, schema))
+    assert runs.validate_problems(jsonl.read_jsonl(spark, paths[:1], schema)).count() == 1
