@@ -535,3 +535,32 @@ def test_pipeline_of_null_and_repeated_ids(spark, tmp_path):
 def test_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 11))
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    frame(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    one = frame(spark, [(1, " ".join(f"word{k}" for k in range(60)) + " the of and")])
+    assert corpus_pipeline.near_duplicates(spark, one, str(tmp_path)).collect() == one.collect()
+    assert corpus_pipeline.decontaminate(spark, one, str(tmp_path)).collect() == one.collect()
+
+
+def test_extraction_of_odd_tables(spark):
+    page = "<body><nav><a href=/>menu</a></nav><article><h1>Title here</h1><p>" + "One long sentence of the text. " * 2000 + "</p></article></body>"
+    rows = [(1, "u", page, "clash", "clash"), (1, "u", page, "clash", "clash"), (None, None, "<p>", None, None), (2, "u", " \n", None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, label string")
+    got = H.extract(pages).collect()
+    assert len(got) == 4 and [r.text for r in got if r.page_id == 1] == ["Title here\n" + ("One long sentence of the text. " * 2000).strip()] * 2
+    assert all(r.text == "" for r in got if r.page_id != 1)
+    assert H.extract(pages.where("page_id > 5")).count() == 0
+
+
+def test_sharding_against_a_sort(docs, rows):
+    """Every row's shard and slot, from its own curve index, ties by text hash and id."""
+    got = S.shard(docs, 5).select("*", "doc_id").collect()
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(got, key=lambda r: (r.curve, hashes[r.doc_id], r.doc_id))
+    starts = [-(-s * len(order) // 5) for s in range(6)]
+    want = {r.doc_id: (s, i - starts[s]) for s in range(5) for i, r in enumerate(order) if starts[s] <= i < starts[s + 1]}
+    assert {r.doc_id: (r["shard"], r.slot) for r in got} == want
