@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,14 +29,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder or sc._jsc.sc().getCheckpointDir().get()
 
 
-def written(df: DataFrame, path: str, **options: str) -> None:
-    """Writes df as Parquet under _SETTINGS."""
-    conf = df.sparkSession.conf
-    before = {k: conf.get(k, None) for k in _SETTINGS}
-    for k, v in _SETTINGS.items():
+@contextmanager
+def _under(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    conf = spark.conf
+    before = {k: conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         conf.set(k, v)
     try:
-        df.write.options(**options).parquet(path)
+        yield
     finally:
         for k, v in before.items():
             if v is None:
@@ -43,6 +45,12 @@ def written(df: DataFrame, path: str, **options: str) -> None:
                 conf.set(k, v)
 
 
+def written(df: DataFrame, path: str, **options: str) -> None:
+    """Writes df as Parquet under _SETTINGS."""
+    with _under(df.sparkSession, _SETTINGS):
+        df.write.options(**options).parquet(path)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """df, computed once: a Parquet table in the checkpoint folder, whose files outlive executors.
 
@@ -95,4 +103,5 @@ class Scratch:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once, with its partitions and their order kept."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _under(df.sparkSession, {k: v for k, v in _SETTINGS.items() if ".arrow." in k}):
+        return df.checkpoint(eager=True)
